@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -76,3 +77,20 @@ def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 24) -> Data
         .filter(F.getbit(byte, F.col("__pos") % 8) == 1)
         .drop("__page", "__pos", "__bitmap")
     )
+
+
+# Unicode's White_Space, which is what byte-level tokenizers call white space.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: White space followed by a space: such a text can't be cut at its spaces alone.
+_ODD_SPACE = re.compile(f"[{WHITE}] ")
+
+
+def units(text: str) -> list[str]:
+    """White space plus the characters up to the next white space.  No pre-token of a byte-level pattern goes from
+    a character that isn't white space into white space, so the ids of a text are those of its units in order.
+    Cutting at single spaces is a faster way to such units for most texts."""
+    if _ODD_SPACE.search(text):
+        return _UNIT.findall(text)
+    head, *rest = text.split(" ")
+    return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]

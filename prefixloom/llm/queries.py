@@ -29,6 +29,16 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(docs, token_path(spark), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_documents
+
+    docs = _read(spark, sf_dir, "documents")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_documents(docs, ranks, public_tokenizers.PATTERN, keep_ids=False).drop("ids")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -37,7 +47,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_sharding, op2_token_files, op8_exact_dedup)
+    for f in (op1_sharding, op2_token_files, op6_byte_bpe, op8_exact_dedup)
 }
 
 SQL: dict[str, str] = {}

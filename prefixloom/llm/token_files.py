@@ -22,7 +22,6 @@ text's hash.  An empty table gives no shards and an empty result.  Only the two
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -33,25 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_or_empty, written
+from .common import fresh_path, text_or_empty, units, written
 
 MAGIC = b"PLXIDS01"
 NULL_ID = -(2**63)
 INDEX = np.dtype([("start", "<i8"), ("n_tokens", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("doc_id", "<i8")])
-UNIT = re.compile(r"\s*\S+|\s+")
-#: White space followed by a space: such a text can't be cut at its spaces alone.
-ODD_SPACE = re.compile(r"\s ")
 MOST_UNITS = 400_000
 
 
-def units(text: str) -> list[str]:
-    """Units whose encodings concatenate to the text's; cutting at single spaces is the fast way to most of them."""
-    if ODD_SPACE.search(text):
-        return UNIT.findall(text)
-    head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-
-
 class UnitEncoder:
     """Ids of texts as bytes, by way of a bounded table of units."""
 

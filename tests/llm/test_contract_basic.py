@@ -11,7 +11,8 @@ import pytest
 
 from prefixloom.llm.exact_dedup import build_index, entries, exact_dedup
 from prefixloom.llm.sharding import shard_rows
-from prefixloom.llm.token_files import TokenFile, read_token_files, units, write_token_files
+from prefixloom.llm.common import units
+from prefixloom.llm.token_files import TokenFile, read_token_files, write_token_files
 
 SCHEMA = "doc_id long, text string, size string, shard string, key string"
 TEXTS = [
