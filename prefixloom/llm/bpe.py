@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,15 +125,17 @@ def encode_documents(
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     white = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(ranks_path, pattern)
-        for pdf in batches:
-            for i in range(0, len(pdf), 512):
-                part = pdf.iloc[i : i + 512]
-                out = pd.DataFrame([_digests(known.encode(t), known, keep_ids) for t in part["text"]], columns=OUT)
-                yield out.assign(doc_id=part["doc_id"].astype("Int64").array)
-
-    short = rows.filter(F.length("text") <= chunk).mapInPandas(whole, f"{OUT_SCHEMA}, doc_id long")
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                done = [_digests(known.encode(t), known, keep_ids) for t in part.column(1).to_pylist()]
+                kinds = (pa.int64(), pa.binary(), pa.string(), pa.string())
+                columns = [pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, part.column(0)], names=[*OUT, "doc_id"])
+
+    short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, f"{OUT_SCHEMA}, doc_id long")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -29,6 +29,17 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(docs, token_path(spark), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .language_id import fit, held_out, predict_languages
+
+    docs = _read(spark, sf_dir, "documents")
+    model = fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    asked = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return predict_languages(asked, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +58,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_sharding, op2_token_files, op6_byte_bpe, op8_exact_dedup)
+    for f in (op1_sharding, op2_token_files, op4_language_id, op6_byte_bpe, op8_exact_dedup)
 }
 
 SQL: dict[str, str] = {}
