@@ -94,3 +94,53 @@ def units(text: str) -> list[str]:
         return _UNIT.findall(text)
     head, *rest = text.split(" ")
     return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
+
+
+#: Groups with more than this share of the rows are hot; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 1024
+
+
+def attach(left: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """left join of groups (one row per key, `weight` rows of left each) without a hot key in the shuffle.
+
+    Groups with more than total * HOT_SHARE rows number 1 / HOT_SHARE at most, so they are broadcast; all others
+    are joined by key.
+    """
+    most = F.lit(max(1.0, total * HOT_SHARE))
+    values = [c for c in groups.columns if c not in (*keys, weight)]
+    hot = groups.filter(F.col(weight) > most).select(*keys, F.struct(*values).alias("__hot"))
+    cold = groups.filter(F.col(weight) <= most).select(*keys, F.struct(*values).alias("__cold"))
+    marked = left.join(F.broadcast(hot), keys, "left")
+    done = marked.filter(F.col("__hot").isNotNull()).select(*left.columns, *(F.col(f"__hot.{v}").alias(v) for v in values))
+    rest = marked.filter(F.col("__hot").isNull()).select(*left.columns).join(cold, keys, "left")
+    return done.unionByName(rest.select(*left.columns, *(F.col(f"__cold.{v}").alias(v) for v in values)))
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """Connected components of edges (a long, b long): rows (node, component), component the smallest node.
+
+    Large-star and small-star steps (Kiveris et al., 2014) until nothing changes; every step is a pre-aggregated
+    minimum and a join, and is written to the shared folder.  Only counts reach the driver.
+    """
+    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = written(pairs, name)
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
+
+    before = mark(pairs)
+    while before[0]:
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = written(large, name)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        pairs = written(small.select("e.u", "e.v").filter("u <> v").distinct(), name)
+        now = mark(pairs)
+        if now == before:
+            break
+        before = now
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )

@@ -40,6 +40,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(asked, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +64,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_sharding, op2_token_files, op4_language_id, op6_byte_bpe, op8_exact_dedup)
+    for f in (op1_sharding, op2_token_files, op4_language_id, op5_jaccard_join, op6_byte_bpe, op8_exact_dedup)
 }
 
 SQL: dict[str, str] = {}
