@@ -65,18 +65,19 @@ def key_bitmap(keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
     )
 
 
-def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 24) -> DataFrame:
-    """Rows of df whose key may be among the bitmap's keys.  The broadcast side is bounded by key_bitmap()."""
+def maybe_flag(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 24, flag: str = "__maybe") -> DataFrame:
+    """df with a boolean: may the key be among the bitmap's?  The broadcast side is bounded by key_bitmap()."""
     cell = F.pmod(F.col(key), F.lit(1 << bits))
-    pos = F.pmod(cell, F.lit(PAGE_BITS))
     byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(__pos div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return (
-        df.withColumn("__page", (cell / PAGE_BITS).cast("long"))
-        .withColumn("__pos", pos)
-        .join(F.broadcast(bitmap), "__page")
-        .filter(F.getbit(byte, F.col("__pos") % 8) == 1)
-        .drop("__page", "__pos", "__bitmap")
-    )
+    marked = df.withColumn("__page", (cell / PAGE_BITS).cast("long")).withColumn("__pos", F.pmod(cell, F.lit(PAGE_BITS)))
+    marked = marked.join(F.broadcast(bitmap), "__page", "left")
+    found = F.when(F.col("__bitmap").isNotNull(), F.getbit(byte, F.col("__pos") % 8) == 1)
+    return marked.withColumn(flag, F.coalesce(found, F.lit(False))).drop("__page", "__pos", "__bitmap")
+
+
+def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 24) -> DataFrame:
+    """Rows of df whose key may be among the bitmap's keys."""
+    return maybe_flag(df, key, bitmap, bits).filter("__maybe").drop("__maybe")
 
 
 # Unicode's White_Space, which is what byte-level tokenizers call white space.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,15 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(docs, token_path(spark), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good; the share kept is the labelled share of good ones."""
+    from .resampling import resample
+
+    labels = _read(spark, sf_dir, "labels").filter("quality is not null")
+    keep = labels.agg(F.avg("quality")).first()[0] or 0.0
+    return resample(_read(spark, sf_dir, "documents"), labels.filter("quality = 1").select("doc_id"), keep)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,15 +65,43 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, ranks, public_tokenizers.PATTERN, keep_ids=False).drop("ids")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the edited text's hash, its lines, and how many were deleted."""
+    from .line_dedup import dedup_lines
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    return dedup_lines(docs, removed_col="removed_lines").select(
+        "doc_id", "removed_lines", F.size(F.split(text, "\n")).alias("kept_lines"), F.sha2(text.cast("binary"), 256).alias("text_sha256")
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of every document, with its pass, block, the block's place in the pass and the document's in the block."""
+    from .mixing import mix
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, max_repeats=1.5).drop("text")
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_sharding, op2_token_files, op4_language_id, op5_jaccard_join, op6_byte_bpe, op8_exact_dedup)
+    for f in (
+        op1_sharding, op2_token_files, op3_importance_resampling, op4_language_id, op5_jaccard_join, op6_byte_bpe,
+        op7_line_dedup, op8_exact_dedup, op9_temperature_mix, op10_ann,
+    )
 }
 
 SQL: dict[str, str] = {}
