@@ -65,11 +65,14 @@ class UnitEncoder:
             raise ValueError("only a byte-level tokenizer without normaliser can be encoded unit by unit")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.known = Memo(self.unit)
+        self.known = Memo(self.unit, most=600_000)
         self.model = self.tokenizer.model
 
     def unit(self, unit: str) -> bytes:
-        if max(unit) < "\u0530":
+        body = unit[1:] if unit[0] == " " else unit
+        if body.isalpha() and max(unit) < "\u0530":
+            pieces = [unit.encode().decode("latin-1").translate(BYTE_CHARS)]
+        elif max(unit) < "\u0530":
             pieces = [p.encode().decode("latin-1").translate(BYTE_CHARS) for p in PATTERN.findall(unit)]
         else:
             pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
