@@ -26,7 +26,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, token_path, write_token_files
 
     docs = _read(spark, sf_dir, "documents")
-    return read_token_files(write_token_files(docs, token_path(spark), public_tokenizers.path("byte_bpe_50k.json")))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return read_token_files(write_token_files(docs, token_path(spark), tokenizer, added_tokens=True))
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Encoding.  A text is cut into units of white space plus the characters up to the next white space; no pre-token of
 the byte-level pattern crosses such a unit, so the ids of a text are the ids of its units in order.  Units are
-encoded by the tokenizers library and remembered in a bounded table.
+encoded by the tokenizers library and remembered in a bounded table.  With added_tokens, texts that quote one of the
+tokenizer's added tokens go to the library whole, which gives such a token its own id; without, it is text like any other.
 
 File format of one shard (`shard-NNNNNN.ids`), integers little-endian:
 
@@ -56,7 +57,7 @@ class UnitEncoder:
     pre-tokens, but offsets with them, at several times the cost.  It is asked for units beyond the Latin, Greek and Cyrillic
     letters, whose classes have been the same in every version of Unicode's tables that is in use."""
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -67,6 +68,7 @@ class UnitEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known = Memo(self.unit, most=600_000)
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
 
     def unit(self, unit: str) -> bytes:
         body = unit[1:] if unit[0] == " " else unit
@@ -80,13 +82,16 @@ class UnitEncoder:
         return array(self.code, [t.id for p in pieces for t in tokenize(p)]).tobytes()
 
     def encode(self, text: str) -> bytes:
+        for token in self.added:
+            if token in text:
+                return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.known.__getitem__, units(text)))
 
 
 @lru_cache(maxsize=2)
-def encoder_of(tokenizer_path: str) -> UnitEncoder:
+def encoder_of(tokenizer_path: str, added_tokens: bool = False) -> UnitEncoder:
     """One encoder a worker process, whose table outlives a task."""
-    return UnitEncoder(tokenizer_path)
+    return UnitEncoder(tokenizer_path, added_tokens)
 
 
 def dictionary_hash(dictionary: bytes) -> bytes:
@@ -102,7 +107,8 @@ def _filesystem(uri: str):
 
 
 def train_dictionary(
-    df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int, size: int = 65536, sample_documents: int = 2000, sample_pieces: int = 2048
+    df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int, size: int = 65536, sample_documents: int = 2000, sample_pieces: int = 2048,
+    added_tokens: bool = False,
 ) -> bytes:
     """Dictionary fitted on a bounded sample: about `sample_documents` documents by hash of their ids, and of
     their serialized ids at most `sample_pieces` pieces of 4 KB.  It changes sizes only, never what is read back."""
@@ -114,7 +120,7 @@ def train_dictionary(
     share = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample_documents / total) * (1 << 30)) + 1)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(tokenizer_path)
+        encoder = encoder_of(tokenizer_path, added_tokens)
         for pdf in batches:
             out = []
             for text in pdf["text"]:
@@ -131,11 +137,14 @@ def train_dictionary(
 
 
 def write_token_files(
-    df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, level: int = 1
+    df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, level: int = 1,
+    added_tokens: bool = False,
 ) -> DataFrame:
-    """Write shards and dictionary under `path`; the manifest has a row a shard: shard, file, documents, n_tokens, bytes, start."""
+    """Write shards and dictionary under `path`; the manifest has a row a shard: shard, file, documents, n_tokens, bytes, start.
+
+    With added_tokens the ids are those of the library's encode(text, add_special_tokens=False) at its default setting."""
     spark = df.sparkSession
-    dictionary = train_dictionary(df, tokenizer_path, id_col, text_col, end_id)
+    dictionary = train_dictionary(df, tokenizer_path, id_col, text_col, end_id, added_tokens=added_tokens)
     name = dictionary_hash(dictionary)
     store, root = _filesystem(path)
     store.create_dir(root, recursive=True)
@@ -153,7 +162,7 @@ def write_token_files(
         temporary, final = f"{base}/.{shard:06d}-{uuid.uuid4().hex}", f"{base}/shard-{shard:06d}.ids"
         for pdf in batches:
             if out is None:
-                encoder, out = encoder_of(tokenizer_path), where.open_output_stream(temporary, buffer_size=1 << 20)
+                encoder, out = encoder_of(tokenizer_path, added_tokens), where.open_output_stream(temporary, buffer_size=1 << 20)
                 out.write(MAGIC + name + struct.pack("<II", encoder.dtype.itemsize, 0))
                 zdict = zstandard.ZstdCompressionDict(shared.value) if shared.value else None
                 pack = zstandard.ZstdCompressor(level=level, dict_data=zdict).compress
