@@ -128,6 +128,14 @@ def containment_join(spark, d):
     return got.select("ord", F.col("block.num").alias("outer_num"), F.col("block.pfx").alias("outer_pfx"))
 
 
+@query(f"""WITH {IP4} SELECT q.ord, w.num AS outer_num, w.pfx AS outer_pfx FROM r4 q JOIN r4 w ON w.pfx <= q.pfx AND w.lo <= q.lo AND w.hi >= q.hi""")
+def containment_join_all(spark, d):
+    """All rows against all blocks, where containment_join takes /32 rows and blocks up to /27."""
+    rows = views.ip4(spark, d).select("ord", cidr.v4_num(F.col("ip")).alias("num"), F.col("pfx").cast("int").alias("pfx"))
+    got = ranges.covering(rows, rows.select("num", "pfx"))
+    return got.select("ord", F.col("block.num").alias("outer_num"), F.col("block.pfx").alias("outer_pfx"))
+
+
 # IPv6
 
 HEX6 = "'0020010DB8' || printf('%08X', u) || printf('%016X', {0})"
