@@ -324,6 +324,13 @@ def filter_v6(spark, d):
     return filters.apply(views.ip6(spark, d).filter("user_id > 0" if "user_id" in [] else "substring(ip, 5, 4) <> x'00000000'"), "a1", "geoip").select("cat", "ord")
 
 
+@query(f"""WITH {IP6.replace('x - x %', 'x, x - x %', 1)} SELECT cat, ord FROM r6
+WHERE contains(CASE WHEN u = 0 THEN '2001:db8::' ELSE '2001:db8:0:' || printf('%x', u) || '::' END || CASE WHEN x = 0 THEN '' ELSE printf('%x', x) END, 'a1')""")
+def filter_v6_all(spark, d):
+    """The whole view, where filter_v6 leaves out rows whose zero run begins earlier (u = 0)."""
+    return filters.apply(views.ip6(spark, d), "a1", "geoip").select("cat", "ord")
+
+
 @query(f"WITH {SITE}, v AS (SELECT cat_ord, count(*) AS visible FROM site WHERE contains(lower(val), 'ex') GROUP BY cat_ord) SELECT DISTINCT s.cat AS name, coalesce(v.visible, 0) AS visible FROM site s LEFT JOIN v USING (cat_ord)")
 def visible_counts(spark, d):
     rows = views.site(spark, d)

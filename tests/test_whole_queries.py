@@ -1,5 +1,7 @@
 """Queries over whole views against brute force on a small table of events."""
 
+import ipaddress
+
 from prefixloom import catalog
 
 
@@ -17,3 +19,12 @@ def test_containment_join_all(spark, tmp_path):
     assert got == want
     prefixes = {(p, q) for i, _, p in nets for j, _, q in want if i == j}
     assert {p for p, _ in prefixes} == set(range(26, 33)) == {q for _, q in prefixes}
+
+
+def test_filter_v6_all(spark, tmp_path):
+    rows = [(t, i, u % 16, (u * 7919 + i * 131) % 65536) for i, t, u in events(spark, tmp_path)]
+    text = lambda u, x: str(ipaddress.IPv6Address((0x20010DB8 << 96) + (u << 64) + x))
+    want = sorted((t, i) for t, i, u, x in rows if "a1" in text(u, x))
+    got = sorted((r["cat"], r["ord"]) for r in catalog.QUERIES["filter_v6_all"](spark, str(tmp_path)).collect())
+    assert got == want
+    assert {u == 0 for t, i, u, x in rows if (t, i) in set(want)} == {True, False}
