@@ -6,7 +6,8 @@ Fit.  A tree of k-means splits is fitted on a bounded sample (`sample` vectors b
 Search.  A query goes down the tree with a priority queue of open nodes, best first by the inner product with the node's
 centre plus its spread along the query; leaves come out in that order.  How many leaves to visit is calibrated: for
 some queries (`calibration`, by hash of id) the exact neighbours among all rows are found in blocks, and the number of
-leaves is widened until they hold `recall` of them on average.
+leaves is widened until they hold `recall` of them on average.  A query goes on beyond that number until its leaves
+hold k rows besides those with its own id.
 
 Work is dealt in cells: leaves that lie together in the tree, of about `cell` rows together.  A leaf that is larger (one
 vector repeated very often) is split over several cells by hash of id, and queries are dealt in blocks of bounded size, so no
@@ -82,15 +83,17 @@ class Tree:
             todo += [(c, rows[near == j]) for j, c in enumerate(kids) if (near == j).any()]
         return out
 
-    def best_bins(self, q: np.ndarray, visits: int) -> list[int]:
-        """Leaf numbers, best first."""
+    def best_bins(self, q: np.ndarray, visits: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaf numbers, best first: `visits` of them, and more until they hold `least` rows by `sizes`."""
+        sizes, held = sizes or {}, 0
         reach = 2.0 * float(np.linalg.norm(q))
         queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
+        while queue and (len(out) < visits or held < least):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
                 out.append(self.leaf_of[node])
+                held += sizes.get(out[-1], 0)
             for c in kids:
                 heapq.heappush(queue, (-float(q @ self.centres[c]) - reach * self.spread[c], c))
         return out
@@ -225,15 +228,17 @@ def nearest(
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for q_id, v in zip(pdf["vec_id"], pdf["v"], strict=True):
+            for q_id, v, own in zip(pdf["vec_id"], pdf["v"], pdf["own"], strict=True):
                 by_cell: dict[int, list[int]] = {}
-                for x in shared.value.best_bins(np.asarray(v, dtype=np.float64), visits):
+                for x in shared.value.best_bins(np.asarray(v, dtype=np.float64), visits, sizes, k + own):
                     for p in range(parts[x]):
                         by_cell.setdefault(first[x] + p, []).append(x)
                 out += [(q_id, v, c, leaves) for c, leaves in by_cell.items()]
             yield pd.DataFrame(out, columns=["vec_id", "v", "cell", "leaves"])
 
-    planned = queries.select("vec_id", "v").mapInPandas(plan, "vec_id long, v array<double>, cell int, leaves array<long>")
+    repeated = placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")).filter("own > 1")
+    counted = queries.join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1).cast("long")).alias("own"))
+    planned = counted.mapInPandas(plan, "vec_id long, v array<double>, cell int, leaves array<long>")
     planned = planned.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int"))
 
     def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
