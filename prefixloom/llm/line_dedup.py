@@ -7,8 +7,9 @@ lines; the smallest gram hash in a window is a fingerprint (of equals the one ch
 
 Fingerprints join on their hash: every later occurrence (in order of document, then line) meets the first one.  A match is
 extended both ways, line by line, as far as the two documents agree, and the later run is deleted.  As every fingerprint but
-a first one goes with its gram, no run of 2 * gram_words words stays twice, and a first occurrence always stays.
-Runs of fewer words than gram_words, such as a repeated short line alone, are left as they are.
+a first one goes with its gram, no run of whole lines with 2 * gram_words words stays twice, and a first occurrence always
+stays.  Left as they are: passages of any length that lie inside longer lines or begin or end within one (only their whole
+lines can match), and runs of fewer words than gram_words, such as a repeated short line alone, however many documents share it.
 
 A hash with a third of all occurrences meets its first one in a join that Spark can split; nothing is gathered by hash.
 Per document, only its own runs are gathered.
