@@ -46,22 +46,26 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
 
 
-def dropped(table: DataFrame) -> None:
-    """Delete a table made by written() that nothing reads any more."""
-    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more.  Where there is no JVM at hand, they stay."""
+    for table in tables:
+        spark, path = table.sparkSession, getattr(table, "_written_to", None)
+        if path and getattr(spark, "_jvm", None) is not None:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def released(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps now; by itself it waits for the driver's garbage
     collection, which a small driver heap may put off for half an hour."""
     gc.collect()
-    spark._jvm.System.gc()
+    if getattr(spark, "_jvm", None) is not None:
+        spark._jvm.System.gc()
 
 
 def text_or_empty(col: str | Column) -> Column:
@@ -138,7 +142,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the smallest node.
 
     Large-star and small-star steps (Kiveris et al., 2014) until nothing changes; every step is a pre-aggregated
-    minimum and a join, and is written to the shared folder.  Only counts reach the driver.
+    minimum and a join in which hubs are broadcast (attach), and is written to the shared folder.  Only counts reach the driver.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = written(pairs, name)
@@ -148,13 +152,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     before = mark(pairs)
     while before[0]:
+        old = pairs
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("__w"))
+        large = attach(both.filter("v > u"), least, ["u"], "__w", 2 * before[0])
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), name)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__w"))
+        small = attach(large, least, ["u"], "__w", before[0])
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         pairs = written(small.select("e.u", "e.v").filter("u <> v").distinct(), name)
+        dropped(old, large)
         now = mark(pairs)
         if now == before:
             break
