@@ -122,14 +122,14 @@ def units(text: str) -> list[str]:
 HOT_SHARE = 1 / 1024
 
 
-def attach(left: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+def attach(left: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int, keep_weight: bool = False) -> DataFrame:
     """left join of groups (one row per key, `weight` rows of left each) without a hot key in the shuffle.
 
     Groups with more than total * HOT_SHARE rows number 1 / HOT_SHARE at most, so they are broadcast; all others
     are joined by key.
     """
     most = F.lit(max(1.0, total * HOT_SHARE))
-    values = [c for c in groups.columns if c not in (*keys, weight)]
+    values = [c for c in groups.columns if c not in keys and (keep_weight or c != weight)]
     hot = groups.filter(F.col(weight) > most).select(*keys, F.struct(*values).alias("__hot"))
     cold = groups.filter(F.col(weight) <= most).select(*keys, F.struct(*values).alias("__cold"))
     marked = left.join(F.broadcast(hot), keys, "left")

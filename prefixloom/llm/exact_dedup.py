@@ -1,17 +1,20 @@
 """Operator 8, exact dedup with an extendible-hash index on shared files, in DataFrame operations only.
 
-1. Every row becomes a narrow entry (id, 64-bit key, digest, length) in a table on shared files; texts stay out.
-2. Entries of equal (key, digest) are pre-aggregated, so a group of copies is one entry however large it is.
-   The directory starts at a global depth for the number of entries and doubles while a bucket is overfull;
-   a bucket splits until it holds at most `capacity` entries, and keeps its own local depth.
-3. The index is dealt to owner tasks by bucket (a range of keys) and written.  Inside a bucket, entries that
-   collide in the key are chained by digest.
-4. Keys with more than one row are checked byte by byte: the texts of those keys only (found by a bitmap of
-   bounded size) are grouped by their bytes.  Two texts of one digest with different bytes stop the run.
-
-Null text counts as empty.  Equal texts keep the smallest id (a null id sorts last); rows with the same id and
-text are all marked kept only if that id is the one kept.  Empty tables give empty results.  Only the two named columns
-are read, so further columns and clashing names do no harm.
+1. Every row becomes a narrow entry (id, 64-bit key, digest, length, copies) in a table on shared files; texts stay out.  Rows equal in
+   all of these are one entry with their number.
+2. Entries of equal (key, digest) are pre-aggregated to one chain entry, so a group of copies is one however large it is.
+   The directory starts at a global depth for the number of chain entries and doubles while a bucket is overfull: overfull buckets
+   split by the next bit of the key, the others keep their local depth, until none holds more than `capacity`.  It is a table on
+   shared files of (depth, cell), a row a bucket, and every key has exactly one bucket in it.
+3. Owner tasks: chain entries, and the distinct texts of keys that more than one row has (found by a bitmap of bounded size), look up
+   their bucket in the directory and are dealt to tasks by bucket, whole buckets to a task.  There, within a bucket, chains of equal
+   key and digest meet their texts: a group is what has the same bytes, its size must be the chain's, and two texts of one digest that
+   differ in a byte stop the run.  So a group exists only where its bucket's owner found it.
+4. Entries take their group from the owners' results; groups with a large share of the rows are few by count and are broadcast.
+
+Null text counts as empty.  Equal texts keep the smallest id (a null id sorts last).  Of rows equal in id and text, one counts as the
+row that stays, the others are dropped.  Empty tables give empty results.  Only the two named columns are read, so further columns and
+clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -21,10 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, key_bitmap, maybe_in, text_or_empty, written
-
-#: Hot groups are those with more than this share of the rows; there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 1 / 1024
+from .common import SPACE_RUN, attach, dropped, key_bitmap, maybe_in, text_or_empty, written
 
 
 def normalised(text: Column) -> Column:
@@ -32,7 +32,7 @@ def normalised(text: Column) -> Column:
 
 
 def entries(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Narrow entries: id, key, digest (binary), bytes."""
+    """Narrow entries: doc_id, key, digest (binary), bytes."""
     norm = df.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_or_empty(text_col)).alias("__norm"))
     return norm.select("doc_id", *_key_columns())
 
@@ -49,76 +49,87 @@ def _cell(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def build_index(ent: DataFrame, capacity: int = 65536, max_depth: int = 48) -> DataFrame:
-    """Index entries (key, digest, bytes, keep_id, n) with their bucket and its local depth."""
-    chains = written(
-        ent.groupBy("key", "digest", "bytes").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "dedup-chains"
-    )
+def build_directory(chains: DataFrame, capacity: int, max_depth: int = 48) -> tuple[DataFrame, list[int]]:
+    """(depth, bucket) of every bucket that holds a chain entry, bucket being the first `depth` bits of its keys, and the depths."""
     total = chains.count()
     depth = max(0, math.ceil(math.log2(max(1, total) / capacity)))
-    split: list[tuple[int, DataFrame]] = []
-    overfull = chains.groupBy(_cell(F.col("key"), depth).alias("cell")).count().filter(F.col("count") > capacity).select("cell")
-    local = F.lit(depth)
-    rest = chains
-    while depth < max_depth and not overfull.isEmpty():
-        # double the directory: only overfull buckets get the new bit, the others keep their local depth
-        cells = written(overfull, f"dedup-directory-{depth}")
-        split.append((depth, cells))
-        rest = rest.join(cells, _cell(rest["key"], depth) == cells["cell"], "left_semi")
+    rest, parts, depths = chains.select("key"), [], []
+    while True:
+        sizes = rest.groupBy(_cell(F.col("key"), depth).alias("bucket")).agg(F.count(F.lit(1)).alias("__n"))
+        sizes = written(sizes, f"dedup-directory-{depth}")
+        last = depth >= max_depth
+        full = sizes.filter(F.lit(last) | (F.col("__n") <= capacity)).select(F.lit(depth).alias("depth"), "bucket")
+        parts.append(full)
+        depths.append(depth)
+        over = sizes.filter(F.col("__n") > capacity).select("bucket")
+        if last or over.isEmpty():
+            break
+        # the directory doubles: only overfull buckets get the new bit
+        rest = rest.withColumn("__cell", _cell(F.col("key"), depth)).join(over.withColumnRenamed("bucket", "__cell"), "__cell", "left_semi").select("key")
         depth += 1
-        overfull = rest.groupBy(_cell(F.col("key"), depth).alias("cell")).count().filter(F.col("count") > capacity).select("cell")
-    out = chains
-    for d, cells in split:
-        mark = cells.select(F.col("cell").alias(f"__c{d}"))
-        out = out.join(mark, _cell(out["key"], d) == mark[f"__c{d}"], "left")
-        local = F.when(F.col(f"__c{d}").isNotNull(), F.lit(d + 1)).otherwise(local)
-    out = out.withColumn("local_depth", local).drop(*(f"__c{d}" for d, _ in split))
-    bucket = F.expr("shiftrightunsigned(key, 64 - greatest(local_depth, 1))")
-    return out.withColumn("bucket", F.when(F.col("local_depth") == 0, F.lit(0).cast("long")).otherwise(bucket))
-
-
-def compare_bytes(df: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Chains of more than one row, from their texts' bytes: (key, digest, keep_id, group_size)."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, depths
+
+
+def located(df: DataFrame, directory: DataFrame, depths: list[int]) -> DataFrame:
+    """df (with key) and its bucket and local_depth, by lookup of the key's cell at every depth that the directory has; one is there."""
+    cells = F.array(*(F.struct(F.lit(d).alias("depth"), _cell(F.col("key"), d).alias("bucket")) for d in depths))
+    asked = df.withColumn("__c", F.explode(cells)).select(*df.columns, F.col("__c.depth").alias("depth"), F.col("__c.bucket").alias("bucket"))
+    return asked.join(directory, ["depth", "bucket"]).withColumnRenamed("depth", "local_depth").select(*df.columns, "bucket", "local_depth")
+
+
+def chained(ent: DataFrame) -> DataFrame:
+    copies = F.sum("copies") if "copies" in ent.columns else F.count(F.lit(1))
+    return ent.groupBy("key", "digest", "bytes").agg(F.min("doc_id").alias("keep_id"), copies.alias("n"))
+
+
+def build_index(ent: DataFrame, capacity: int = 16384, max_depth: int = 48) -> DataFrame:
+    """Index entries (key, digest, bytes, keep_id, n) with their bucket and its local depth."""
+    chains = written(chained(ent), "dedup-chains")
+    return located(chains, *build_directory(chains, capacity, max_depth))
+
+
+def owned_groups(index: DataFrame, texts: DataFrame) -> DataFrame:
+    """What the owners of the buckets find: (key, digest, keep_id, group_size, local_depth) of every chain of more than one row.
+
+    index: chain entries with bucket; texts: distinct texts with bucket, their rows and smallest id.  Both are dealt by bucket alone,
+    and grouped there without another exchange."""
+    deal = ["bucket", "local_depth", "key", "digest"]
+    none = F.lit(None)
+    entry = index.filter("n > 1").select(*deal, F.col("n").alias("rows"), none.cast("long").alias("size"), none.cast("long").alias("least"), none.cast("string").alias("text"))
+    text = texts.select(*deal, none.cast("long").alias("rows"), F.col("group_size").alias("size"), F.col("keep_id").alias("least"), F.col("__norm").alias("text"))
+    met = entry.unionByName(text).repartition("bucket").groupBy(*deal).agg(
+        F.sum("rows").alias("rows"), F.sum("size").alias("size"), F.min("least").alias("keep_id"), F.min("text").alias("a"), F.max("text").alias("z")
+    )
+    met = met.filter("rows is not null")  # a bitmap lets a few texts through that have no chain
+    clash = F.raise_error(F.lit("texts of one digest differ in their bytes, or a chain lacks its texts")).cast("long")
+    sound = (F.col("a") == F.col("z")) & (F.col("size") == F.col("rows"))
+    return met.select("key", "digest", "keep_id", F.when(sound, F.col("size")).otherwise(clash).alias("group_size"), "local_depth")
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 16384) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    ent = entries(df, id_col, text_col).groupBy("doc_id", "key", "digest", "bytes").agg(F.count(F.lit(1)).alias("copies"))
+    ent = written(ent, "dedup-entries")
+    chains = written(chained(ent), "dedup-chains")
+    directory, depths = build_directory(chains, capacity)
+    index = written(located(chains, directory, depths), "dedup-index")
+    dropped(chains)
+    # texts of keys that repeat; copies collapse before the shuffle, so an owner gets a text once
     repeated = key_bitmap(index.filter("n > 1").select("key"), "key")
     norm = df.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_or_empty(text_col)).alias("__norm"))
     cand = maybe_in(norm.withColumn("__key", F.xxhash64("__norm")), "__key", repeated).drop("__key")
-    # grouping by the text compares bytes; copies collapse before the shuffle
     texts = cand.groupBy("__norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    texts = texts.filter("group_size > 1").select("keep_id", "group_size", *_key_columns()).drop("bytes")
-    clash = F.raise_error(F.lit("two texts of one digest differ in their bytes"))
-    return (
-        texts.groupBy("key", "digest")
-        .agg(F.count(F.lit(1)).alias("__texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        .withColumn("group_size", F.when(F.col("__texts") == 1, F.col("group_size")).otherwise(clash.cast("long")))
-        .drop("__texts")
-    )
-
-
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 65536) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket_depth."""
-    ent = written(entries(df, id_col, text_col), "dedup-entries")
-    index = written(
-        build_index(ent, capacity).repartitionByRange(F.col("bucket"), F.col("key")).sortWithinPartitions("bucket", "key", "digest"),
-        "dedup-index",
-    )
-    chains = written(compare_bytes(df, index, id_col, text_col), "dedup-compared")
-    groups = index.filter("n > 1").select("key", "digest", "local_depth").join(chains, ["key", "digest"])
-    # groups with a large share of the rows are few by count, so that side's size is bounded; the rest join by key
-    hot_rows = F.lit(max(1.0, ent.count() * HOT_SHARE))
-    hot = groups.filter(F.col("group_size") > hot_rows).select(
-        "key", "digest", F.col("keep_id").alias("__hot_keep"), F.col("group_size").alias("__hot_size")
-    )
-    marked = ent.join(F.broadcast(hot), ["key", "digest"], "left")
-    cold = groups.filter(F.col("group_size") <= hot_rows)
-    known = marked.filter(F.col("__hot_size").isNotNull()).select(
-        "doc_id", F.col("__hot_keep").alias("keep_id"), F.col("__hot_size").alias("group_size"), "digest"
-    )
-    open_rows = marked.filter(F.col("__hot_size").isNull()).select("doc_id", "key", "digest")
-    joined = open_rows.join(cold.drop("local_depth"), ["key", "digest"], "left").select(
-        "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "digest",
-    )
-    return known.unionByName(joined).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+    texts = texts.filter("group_size > 1").select("__norm", "keep_id", "group_size", *_key_columns())
+    groups = written(owned_groups(index, located(texts, directory, depths)), "dedup-groups")
+    rows = ent.agg(F.sum("copies")).first()[0] or 0
+    found = attach(ent, groups.select("key", "digest", "keep_id", "group_size"), ["key", "digest"], "group_size", rows, keep_weight=True)
+    size = F.coalesce("group_size", F.lit(1).cast("long"))
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    out = found.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), "digest", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"))
+    return out.select(
+        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__copy") == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
