@@ -1,7 +1,9 @@
 """Operator 10, approximate nearest neighbours: a hierarchical k-means tree, searched best bin first.
 
-Fit.  A tree of k-means splits is fitted on a bounded sample (`sample` vectors by smallest hash of id); a node is split
-`branch` ways until its share of the sample is at most `leaf` vectors.  Every row is then sent down the tree to a leaf.
+Fit.  The tree has a leaf for about `leaf` rows of the table, so leaves grow in number with it and not in size, up to `most_leaves`
+(a tree of that size, some 10 MB, is what a task holds); beyond that they grow in size.  It is fitted on a sample of `per_leaf` vectors
+a leaf (those with the smallest hash of id; per_leaf * most_leaves = 262,144 at most); a node is split `branch` ways until its share
+of the sample is at most per_leaf vectors.  Every row is then sent down the tree to a leaf.
 
 Search.  A query goes down the tree with a priority queue of open nodes, best first by the inner product with the node's
 centre plus its spread along the query; leaves come out in that order.  How many leaves to visit is calibrated: for
@@ -10,8 +12,10 @@ leaves is widened until they hold `recall` of them on average.  A query goes on
 hold k rows besides those with its own id.
 
 Work is dealt in cells: leaves that lie together in the tree, of about `cell` rows together.  A leaf that is larger (one
-vector repeated very often) is split over several cells by hash of id, and queries are dealt in blocks of bounded size, so no
-task holds more than one cell and one block.  A cell gives each query its best k; the best k of those are the answer.
+vector repeated very often) is split over several cells by hash of id.  A query goes only to the cells that hold a leaf which it
+visits.  The queries of a cell are dealt in blocks of about `block`, and a cell's rows are copied once for each of its own blocks, which
+is once as a rule; so no task holds more than one cell and one block, and what is shuffled grows with the table.  A cell gives each query its
+best k; the best k of those are the answer.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part.  Ties go
 to the smaller id; a row isn't its own neighbour (rows that share the query's id are left out).  With fewer candidates
@@ -28,13 +32,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 class Tree:
-    """Nodes in depth-first order: centre, spread (root mean square distance per direction), children or leaf number."""
+    """Nodes in depth-first order: centre, spread (root mean square distance per direction), children (with their centres as one
+    matrix) or leaf number."""
 
     def __init__(self, sample: np.ndarray, branch: int, leaf: int, seed: int = 7):
         self.rng = np.random.default_rng(seed)
@@ -45,6 +50,9 @@ class Tree:
         self.leaves: list[int] = []  # node of each leaf
         self.leaf_of: dict[int, int] = {}
         self._grow(sample)
+        self.below = {i: np.array([self.centres[c] for c in kids]) for i, kids in enumerate(self.children) if kids}
+        self.reach = {i: np.array([self.spread[c] for c in kids]) for i, kids in enumerate(self.children) if kids}
+        self.centres, self.spread = [], []
 
     def _grow(self, x: np.ndarray) -> int:
         me = len(self.centres)
@@ -79,7 +87,7 @@ class Tree:
             if not kids:
                 out[rows] = self.leaf_of[node]
                 continue
-            near = _nearest(x[rows], np.array([self.centres[c] for c in kids]))
+            near = _nearest(x[rows], self.below[node])
             todo += [(c, rows[near == j]) for j, c in enumerate(kids) if (near == j).any()]
         return out
 
@@ -94,8 +102,9 @@ class Tree:
             if not kids:
                 out.append(self.leaf_of[node])
                 held += sizes.get(out[-1], 0)
-            for c in kids:
-                heapq.heappush(queue, (-float(q @ self.centres[c]) - reach * self.spread[c], c))
+                continue
+            for rank, c in zip((-(self.below[node] @ q) - reach * self.reach[node]).tolist(), kids, strict=True):
+                heapq.heappush(queue, (rank, c))
         return out
 
 
@@ -181,7 +190,7 @@ def calibrate(tree: Tree, rows: DataFrame, leaf_rows: DataFrame, queries: DataFr
 
 def nearest(
     df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.96,
-    sample: int = 32768, branch: int = 16, leaf: int = 128, cell: int = 4096, block: int = 2048, calibration: int = 200,
+    leaf: int = 128, most_leaves: int = 16384, per_leaf: int = 16, branch: int = 16, cell: int = 4096, block: int = 2048, calibration: int = 200,
 ) -> DataFrame:
     """The k rows of largest inner product for every query row: query_id, rank, vec_id, score."""
     spark = df.sparkSession
@@ -190,12 +199,13 @@ def nearest(
     total = rows.count()
     if not total:
         return spark.createDataFrame([], RESULT)
+    sample = per_leaf * min(most_leaves, max(1, -(-total // leaf)))
     share = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) <= int(min(1.0, sample / total) * (1 << 30))
     fitted = rows.filter(share).orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(sample).select("v").toPandas()
     if fitted.empty:
         fitted = rows.orderBy("vec_id").limit(sample).select("v").toPandas()
-    tree = Tree(_matrix(fitted["v"]), branch, leaf)
-    shared = spark.sparkContext.broadcast(tree)  # at most 2 * sample / leaf * branch centres
+    tree = Tree(_matrix(fitted["v"]), branch, per_leaf)
+    shared = spark.sparkContext.broadcast(tree)  # bounded by most_leaves
 
     def to_leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -203,10 +213,10 @@ def nearest(
 
     placed = written(rows.mapInPandas(to_leaf, "vec_id long, v array<double>, leaf long"), "ann-leaves")
     queries = placed.filter(asked)
-    n_queries = queries.count()
-    if not n_queries:
+    if queries.isEmpty():
         return spark.createDataFrame([], RESULT)
     visits = calibrate(tree, rows, placed, queries, k, recall, calibration)
+    dropped(rows)
 
     # cells: leaves in tree order, filled up to `cell` rows; a larger leaf gets cells of its own
     sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # one row a leaf
@@ -220,10 +230,8 @@ def nearest(
         if parts[x] > 1:
             at, filled = at + parts[x], 0
     table = spark.createDataFrame([(x, first[x], parts[x]) for x in first], "leaf long, first int, parts int")
-    blocks = -(-n_queries // block)
     salt = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.col("parts")).cast("int")
     dealt = placed.join(F.broadcast(table), "leaf").select("vec_id", "v", "leaf", (F.col("first") + salt).alias("cell"))
-    data = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -238,8 +246,11 @@ def nearest(
 
     repeated = placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")).filter("own > 1")
     counted = queries.join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1).cast("long")).alias("own"))
-    planned = counted.mapInPandas(plan, "vec_id long, v array<double>, cell int, leaves array<long>")
-    planned = planned.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int"))
+    planned = written(counted.mapInPandas(plan, "vec_id long, v array<double>, cell int, leaves array<long>"), "ann-visits")
+    blocks = written(planned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "ann-blocks")
+    mine = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int")
+    visiting = planned.join(blocks, "cell").select("vec_id", "v", "cell", "leaves", mine.alias("block"))
+    data = dealt.join(blocks, "cell").select("vec_id", "v", "leaf", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
@@ -254,5 +265,5 @@ def nearest(
 
         return _best_of(q["vec_id"].to_numpy(), _matrix(q["v"]), ids, _matrix(d["v"]), k, visited)
 
-    found = planned.groupBy("cell", "block").cogroup(data.groupBy("cell", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = visiting.groupBy("cell", "block").cogroup(data.groupBy("cell", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
     return _rank(found, k)
