@@ -7,15 +7,17 @@ tokenizer's added tokens go to the library whole, which gives such a token its o
 
 File format of one shard (`shard-NNNNNN.ids`), integers little-endian:
 
-    magic 8 bytes | dictionary hash 8 bytes | bytes an id 4 | documents 4
+    magic 8 bytes | dictionary hash 8 bytes | bytes an id 4
     frames, one zstandard frame a document, of its ids (uint16, or uint32 beyond 65,536 ids)
     index: for each document start (ids before it in this shard), n_tokens, offset, length, doc_id, each int64
-    index offset 8 bytes | magic 8 bytes
+    index offset 8 bytes | documents 8 bytes | magic 8 bytes
 
-The dictionary lies beside the shards as `dictionary-<hash>`.  A reader needs the index and one frame for one document.
+The dictionary lies beside the shards as `dictionary-<hash>`.  It is trained; a sample too small for that (some kilobytes) is itself the
+dictionary, as raw content.  A reader needs the index and one frame for one document.
 
-Shards are ranges of ids: rows are range-partitioned by (id, text hash), so a repeated id can be split, and
-each task writes its range under a temporary name and renames it, so a lost executor's task can run again.
+Shards are ranges of ids of about `shard_bytes` of text: rows are range-partitioned by (id, text hash), so a repeated id can be split, and
+each task writes its range under a temporary name and renames it, so a lost executor's task can run again; what such a task
+left is deleted at the end.  The manifest names files by their whole URI, as the path was given.
 
 Null texts are empty (the end id alone).  Null ids sort first and read back as null.  Repeated ids are ordered by their
 text's hash.  An empty table gives no shards and an empty result.  Only the two named columns are read.
@@ -47,6 +49,7 @@ INDEX = np.dtype([("start", "<i8"), ("n_tokens", "<i8"), ("offset", "<i8"), ("le
 # bytes for themselves, the others in order from U+0100).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+MARKS = frozenset(".,;:!?)]\"")
 BYTE_CHARS = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
@@ -70,16 +73,20 @@ class UnitEncoder:
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+
     def unit(self, unit: str) -> bytes:
+        if not unit.isascii() and max(unit) >= "\u0530":
+            found = self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)
+            return array(self.code, [t.id for p, _ in found for t in self.model.tokenize(p)]).tobytes()
         body = unit[1:] if unit[0] == " " else unit
-        if body.isalpha() and max(unit) < "\u0530":
-            pieces = [unit.encode().decode("latin-1").translate(BYTE_CHARS)]
-        elif max(unit) < "\u0530":
-            pieces = [p.encode().decode("latin-1").translate(BYTE_CHARS) for p in PATTERN.findall(unit)]
-        else:
-            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
-        tokenize = self.model.tokenize
-        return array(self.code, [t.id for p in pieces for t in tokenize(p)]).tobytes()
+        if body.isalpha():
+            return self.piece(unit)
+        if body[-1:] in MARKS and body[:-1].isalpha():  # a word and one mark
+            return self.known[unit[:-1]] + self.known[body[-1]]
+        return b"".join([self.piece(p) for p in PATTERN.findall(unit)])
 
     def encode(self, text: str) -> bytes:
         for token in self.added:
@@ -101,20 +108,21 @@ def dictionary_hash(dictionary: bytes) -> bytes:
 
 
 def _filesystem(uri: str):
+    """The store of a URI (or of a local path) and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri if ":" in uri.split("/", 1)[0] else f"file://{uri}")
 
 
 def train_dictionary(
     df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int, size: int = 65536, sample_documents: int = 2000, sample_pieces: int = 2048,
-    added_tokens: bool = False,
+    added_tokens: bool = False, total: int | None = None,
 ) -> bytes:
     """Dictionary fitted on a bounded sample: about `sample_documents` documents by hash of their ids, and of
     their serialized ids at most `sample_pieces` pieces of 4 KB.  It changes sizes only, never what is read back."""
     import zstandard
 
-    total = df.count()
+    total = df.count() if total is None else total
     if not total:
         return b""
     share = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample_documents / total) * (1 << 30)) + 1)
@@ -132,19 +140,21 @@ def train_dictionary(
     got = [bytes(r["piece"]) for r in sample.orderBy("h", "piece").limit(sample_pieces).collect()]
     try:
         return zstandard.train_dictionary(size, got).as_bytes()
-    except zstandard.ZstdError:  # too little to learn from: frames are then written without a dictionary
-        return b""
+    except zstandard.ZstdError:  # too little to learn from
+        return b"".join(got)[-size:]
 
 
 def write_token_files(
     df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, level: int = 1,
-    added_tokens: bool = False,
+    added_tokens: bool = False, shard_bytes: int = 1 << 27,
 ) -> DataFrame:
     """Write shards and dictionary under `path`; the manifest has a row a shard: shard, file, documents, n_tokens, bytes, start.
 
     With added_tokens the ids are those of the library's encode(text, add_special_tokens=False) at its default setting."""
     spark = df.sparkSession
-    dictionary = train_dictionary(df, tokenizer_path, id_col, text_col, end_id, added_tokens=added_tokens)
+    path = path.rstrip("/")
+    total, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()
+    dictionary = train_dictionary(df, tokenizer_path, id_col, text_col, end_id, added_tokens=added_tokens, total=total)
     name = dictionary_hash(dictionary)
     store, root = _filesystem(path)
     store.create_dir(root, recursive=True)
@@ -156,34 +166,42 @@ def write_token_files(
         import zstandard
         from pyspark import TaskContext
 
-        encoder, out, index, start, offset = None, None, [], 0, 24
+        encoder, out, index, start, offset = None, None, array("q"), 0, 20
         shard = TaskContext.get().partitionId()
         where, base = _filesystem(path)
-        temporary, final = f"{base}/.{shard:06d}-{uuid.uuid4().hex}", f"{base}/shard-{shard:06d}.ids"
+        temporary, final = f"{base}/.{shard:06d}-{uuid.uuid4().hex}", f"shard-{shard:06d}.ids"
         for pdf in batches:
             if out is None:
                 encoder, out = encoder_of(tokenizer_path, added_tokens), where.open_output_stream(temporary, buffer_size=1 << 20)
-                out.write(MAGIC + name + struct.pack("<II", encoder.dtype.itemsize, 0))
-                zdict = zstandard.ZstdCompressionDict(shared.value) if shared.value else None
+                out.write(MAGIC + name + struct.pack("<I", encoder.dtype.itemsize))
+                zdict = zstandard.ZstdCompressionDict(shared.value)
                 pack = zstandard.ZstdCompressor(level=level, dict_data=zdict).compress
                 end = np.array([end_id], dtype=encoder.dtype).tobytes()
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = encoder.encode(text) + end
                 frame, n = pack(ids), len(ids) // encoder.dtype.itemsize
                 out.write(frame)
-                index.append((start, n, offset, len(frame), doc_id))
+                index.extend((start, n, offset, len(frame), doc_id))
                 start, offset = start + n, offset + len(frame)
         if out is not None:
-            out.write(np.array(index, dtype=INDEX).tobytes() + struct.pack("<Q", offset) + MAGIC)
+            documents = len(index) // 5
+            out.write(np.frombuffer(index, dtype="=i8").astype("<i8").tobytes() + struct.pack("<QQ", offset, documents) + MAGIC)
             out.close()
-            where.move(temporary, final)
-            yield pd.DataFrame({"shard": [shard], "file": [final], "documents": [len(index)], "n_tokens": [start], "bytes": [offset]})
+            where.move(temporary, f"{base}/{final}")
+            yield pd.DataFrame({"shard": [shard], "file": [f"{path}/{final}"], "documents": [documents], "n_tokens": [start], "bytes": [offset]})
 
     rows = df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty(text_col).alias("text")
     ).withColumn("h", F.xxhash64("text"))
-    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    # shards by size, and smaller ones while there are fewer than the cores can share
+    shards = max(1, -(-size // shard_bytes), min(4 * spark.sparkContext.defaultParallelism, -(-size // (1 << 22))))
+    dealt = rows.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     manifest = written(dealt.mapInPandas(write, "shard int, file string, documents long, n_tokens long, bytes long"), "token-manifest")
+    from pyarrow import fs
+
+    for left in store.get_file_info(fs.FileSelector(root)):  # of tasks that were run again
+        if left.base_name.startswith("."):
+            store.delete_file(left.path)
     # one row a shard, so this single ordered window is over file names, not documents
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -198,17 +216,19 @@ class TokenFile:
         self.store, self.path = _filesystem(path)
         self.file = self.store.open_input_file(self.path)
         size = self.file.size()
-        head, tail = self.file.read_at(24, 0), self.file.read_at(16, size - 16)
-        if head[:8] != MAGIC or tail[8:] != MAGIC:
+        head, tail = self.file.read_at(20, 0), self.file.read_at(24, size - 24)
+        if head[:8] != MAGIC or tail[16:] != MAGIC:
             raise ValueError(f"not a token file: {path}")
-        self.dictionary, (self.width, _) = head[8:16], struct.unpack("<II", head[16:24])
-        at = struct.unpack("<Q", tail[:8])[0]
-        self.index = np.frombuffer(self.file.read_at(size - 16 - at, at), dtype=INDEX)
+        self.dictionary, (self.width,) = head[8:16], struct.unpack("<I", head[16:20])
+        at, self.documents = struct.unpack("<QQ", tail[:16])
+        self.index = np.frombuffer(self.file.read_at(size - 24 - at, at), dtype=INDEX)
+        if len(self.index) != self.documents:
+            raise ValueError(f"a cut token file: {path}")
         with self.store.open_input_stream(f"{self.path.rpartition('/')[0]}/dictionary-{self.dictionary.hex()}") as f:
             raw = f.read()
         if dictionary_hash(raw) != self.dictionary:
             raise ValueError("the dictionary isn't the one that the shard was written with")
-        self.unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+        self.unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
 
     def ids(self, row: int) -> np.ndarray:
         entry = self.index[row]
