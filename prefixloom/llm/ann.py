@@ -246,6 +246,7 @@ def nearest(
 
     repeated = placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("own")).filter("own > 1")
     counted = queries.join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1).cast("long")).alias("own"))
+    counted = counted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
     planned = written(counted.mapInPandas(plan, "vec_id long, v array<double>, cell int, leaves array<long>"), "ann-visits")
     blocks = written(planned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "ann-blocks")
     mine = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int")
