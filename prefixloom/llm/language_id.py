@@ -5,9 +5,9 @@ character.  A word (a maximal run of letters, lower-cased, with a word-start mar
 its probability is the sum over all segmentations, by the forward algorithm.  A text's score is the sum of its words' log
 probabilities.  Words of more than 32 letters are cut there, so that sums stay in range; all of the text counts.
 
-Fit.  Expectation-maximisation on a bounded sample: of every language, at most `sample_documents` labelled
-training documents, those with the smallest hash of id, and of each at most `sample_words` distinct words by hash.
-The bound is a parameter; nothing else is capped.  The vocabulary is never trained.
+Fit.  Expectation-maximisation on a bounded sample of rows: of every language, the `sample_documents` labelled training documents with
+the smallest hash of id (ties by text hash), and of these all distinct words.  That bound and `most_languages` (the labels with most
+training documents; a model has a column a language) are parameters; nothing else is capped.  The vocabulary is never trained.
 
 Prediction reads the text alone.  The language with the largest log probability wins, ties to the smaller name; the score is its
 share of exp(mean log probability a word * sqrt(words)), a posterior tempered for the dependence between words.
@@ -19,13 +19,12 @@ Null texts and texts without letters give `und` with score 0.  Null languages do
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
@@ -65,6 +64,9 @@ def parts_of(word: str) -> list[str]:
     return out
 
 
+LATTICE_WORDS = 20_000
+
+
 class Lattice:
     """All segmentations of a list of words: for each end, the edges that end there, longest-word padded."""
 
@@ -140,9 +142,9 @@ class LanguageModel:
                 parts.append(x)
                 owner.append(k)
         rows = np.zeros((len(words), len(self.languages) + 1))
-        for i in range(0, len(parts), 20_000):
-            mass = Lattice(parts[i : i + 20_000], self.vocab, self.longest).log_mass(self.prob)
-            np.add.at(rows, owner[i : i + 20_000], np.column_stack([mass, np.ones(len(mass))]))
+        for i in range(0, len(parts), LATTICE_WORDS):
+            mass = Lattice(parts[i : i + LATTICE_WORDS], self.vocab, self.longest).log_mass(self.prob)
+            np.add.at(rows, owner[i : i + LATTICE_WORDS], np.column_stack([mass, np.ones(len(mass))]))
         start = len(self.scores)
         self.scores = np.vstack([self.scores, rows])
         self.known.update((w, start + i) for i, w in enumerate(words))
@@ -173,44 +175,49 @@ class LanguageModel:
 
 def fit(
     df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample_documents: int = 400, sample_words: int = 200, rounds: int = 4, smoothing: float = 0.02,
+    sample_documents: int = 200, rounds: int = 4, smoothing: float = 0.02, most_languages: int = 256,
 ) -> LanguageModel:
-    """Fit on the labelled rows that aren't held out; what reaches the driver is bounded by the parameters and the
-    number of languages."""
+    """Fit on the labelled rows that aren't held out; what reaches the driver is bounded by the parameters."""
     train = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    train = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(4)).alias("h"))
-    # the smallest hashes of each language, without texts first: a threshold a language, from exact counts
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(sizes)
-    span = 1 << 40
-    pick = F.lit(False)
-    for lang, n in sizes.items():
-        pick = pick | ((F.col("lang") == lang) & (F.pmod("h", F.lit(span)) <= int(min(1.0, sample_documents / n) * span)))
+    train = train.select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(4)).alias("h"),
+        F.xxhash64(F.col(text_col)).alias("th"),
+    )
+    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    languages = sorted(r["lang"] for r in sizes.collect())
+    vocab = vocabulary(vocab_path)
+    if not languages:
+        return LanguageModel([], vocab, np.zeros((len(vocab) + 1, 0)))
+    known = F.broadcast(df.sparkSession.createDataFrame([(x,) for x in languages], "lang string"))  # most_languages at most
+    # tasks keep the smallest hashes of each language before the shuffle, so a language with most rows is no hot task
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "th"))
+    chosen = train.join(known, "lang").select("lang", "h", "th").withColumn("rank", rank).filter(F.col("rank") <= sample_documents)
+    chosen = F.broadcast(chosen.select("lang", "h", "th").distinct())  # most_languages * sample_documents at most
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                found = sorted({p for w in words_of(text) for p in parts_of(w)}, key=lambda w: zlib.crc32(w.encode()))[:sample_words]
-                yield pd.DataFrame({"lang": lang, "word": found, "n": 1})
+                yield pd.DataFrame({"lang": lang, "word": sorted({p for w in words_of(text) for p in parts_of(w)}), "n": 1})
 
-    words = train.filter(pick).select("lang", "text").mapInPandas(count, "lang string, word string, n long")
+    picked = train.join(chosen, ["lang", "h", "th"], "left_semi").dropDuplicates(["lang", "h", "th"])
+    words = picked.select("lang", "text").mapInPandas(count, "lang string, word string, n long")
     got = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas().sort_values(["word", "lang"])
-    vocab = vocabulary(vocab_path)
-    if got.empty:
-        return LanguageModel([], vocab, np.zeros((len(vocab) + 1, 0)))
     names, at = np.unique(got["word"].to_numpy(dtype=object), return_inverse=True)
     weight = np.zeros((len(names), len(languages)))
-    np.add.at(weight, (at, got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()), got["n"].to_numpy(float))
-    lattice = Lattice(list(names), vocab, max(map(len, vocab)))
+    if len(names):
+        np.add.at(weight, (at, got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()), got["n"].to_numpy(float))
+    longest = max(map(len, vocab), default=1)
+    parts = [slice(i, i + LATTICE_WORDS) for i in range(0, len(names), LATTICE_WORDS)]
+    lattices = [(Lattice(list(names[p]), vocab, longest), weight[p]) for p in parts]
     prob = np.full((len(vocab) + 1, len(languages)), 1.0 / (len(vocab) + 1))
     for _ in range(rounds):
-        counts = lattice.expected(prob, weight) + smoothing
+        counts = sum((lattice.expected(prob, w) for lattice, w in lattices), np.zeros_like(prob)) + smoothing
         prob = counts / counts.sum(axis=0)
     return LanguageModel(languages, vocab, prob)
 
 
-def predict_languages(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """df with lang_pred and score added (columns of these names are replaced); the text alone is read."""
+def predict_languages(df: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """df with pred_col and score_col added (columns of these names are replaced); the text alone is read."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +225,8 @@ def predict_languages(df: DataFrame, model: LanguageModel, text_col: str = "text
         for batch in batches:
             names, scores = own.predict(batch.column(text_col).to_pylist())
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, pred_col, score_col])
 
-    kept = df.drop(*(c for c in df.columns if c.lower() in ("lang_pred", "score") and c != text_col))
-    schema = StructType(list(kept.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
+    kept = df.drop(*(c for c in df.columns if c.lower() in (pred_col.lower(), score_col.lower()) and c != text_col))
+    schema = StructType(list(kept.schema.fields)).add(pred_col, StringType()).add(score_col, DoubleType())
     return kept.mapInArrow(score, schema)

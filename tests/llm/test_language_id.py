@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from prefixloom.llm.language_id import Lattice, fit, parts_of, predict_languages, vocabulary, words_of
 
@@ -75,3 +76,59 @@ def test_nothing_to_learn(spark):
     assert predict_languages(empty, fit(empty, VOCAB)).count() == 0
     blank = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert predict_languages(blank, fit(blank, VOCAB)).first()["lang_pred"] == "und"
+
+
+def test_fit_and_prediction_against_enumeration(spark, monkeypatch):
+    """Four rounds of expectation-maximisation and the scores, summed over every segmentation one by one."""
+    from prefixloom.llm import language_id
+
+    vocab = {p: i + 1 for i, p in enumerate(["a", "b", "ab", "ba", "\u2581", "\u2581a", "\u2581ab", "aba", "c"])}
+    monkeypatch.setattr(language_id, "vocabulary", lambda path: vocab)
+    monkeypatch.setattr(language_id, "LATTICE_WORDS", 2)
+    texts = [("x", "ab aba ab"), ("x", "aab, ABA b"), ("y", "ba bab c ba"), ("y", "cab bba"), ("x", "ab zab"), ("y", "ccc ba 12")]
+    rows, i = [], 0
+    for lang, text in texts:
+        while zlib.crc32(str(i).encode()) % 3 == 1:
+            i += 1
+        rows.append((i, text, lang))
+        i += 1
+    asked = next(k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 3 == 1)
+    df = spark.createDataFrame([*rows, (asked, "ab ba zc", "y")], "doc_id long, text string, lang string").repartition(3)
+    model = fit(df, "", rounds=4, smoothing=0.02)
+
+    letters = lambda t: ["\u2581" + w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+    ways = lambda w: list(segmentations(w, vocab, 3))
+    weight = {(lang, w): 0 for lang, t in texts for w in letters(t)}
+    for lang, t in texts:
+        for w in set(letters(t)):
+            weight[lang, w] += 1
+    want = {}
+    for lang in "xy":
+        prob = [0.1] * 10
+        for _ in range(4):
+            counts = [0.02] * 10
+            for (own, w), n in weight.items():
+                if own == lang:
+                    each = [math.prod(prob[p] for p in way) for way in ways(w)]
+                    for way, m in zip(ways(w), each, strict=True):
+                        for p in way:
+                            counts[p] += n * m / sum(each)
+            prob = [c / sum(counts) for c in counts]
+        want[lang] = prob
+    assert model.languages == ["x", "y"]
+    assert np.allclose(model.prob, np.array([want["x"], want["y"]]).T)
+    for r in predict_languages(df, model).collect():
+        parts = letters(r["text"])
+        mass = {lang: sum(math.log(sum(math.prod(want[lang][p] for p in way) for way in ways(w))) for w in parts) for lang in "xy"}
+        best = max("xy", key=lambda lang: mass[lang])
+        score = 1 / sum(math.exp((m - mass[best]) / math.sqrt(len(parts))) for m in mass.values())
+        assert r["lang_pred"] == best and math.isclose(r["score"], score, rel_tol=1e-9)
+
+
+def test_bounds_and_column_names(spark):
+    rows = [(i, f"wort {i} und", f"l{i % 5}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(df, VOCAB, sample_documents=3, most_languages=2)
+    assert len(model.languages) == 2
+    got = predict_languages(df.withColumn("score", F.lit("mine")), model, pred_col="p", score_col="s")
+    assert got.columns == ["doc_id", "text", "lang", "score", "p", "s"] and {r["score"] for r in got.collect()} == {"mine"}
