@@ -11,8 +11,9 @@ a first one goes with its gram, no run of whole lines with 2 * gram_words words
 stays.  Left as they are: passages of any length that lie inside longer lines or begin or end within one (only their whole
 lines can match), and runs of fewer words than gram_words, such as a repeated short line alone, however many documents share it.
 
-A hash with a third of all occurrences meets its first one in a join that Spark can split; nothing is gathered by hash.
-Per document, only its own runs are gathered.
+A hash with a third of all occurrences meets its first one by broadcast (such hashes are few by count); nothing is gathered by hash.
+Matches of one document with one other are gathered before lines are fetched, so the two documents' line hashes travel once a pair of
+documents, not once a match, and matches on one diagonal are extended once.  Per document, only its own runs are gathered.
 
 Null texts stay null and empty texts empty.  Rows of one id are told apart by their texts, in order of text hash; rows equal in id
 and text are one occurrence and edited alike.  A text that loses all its lines becomes empty.  An empty table gives an
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import key_bitmap, maybe_flag, text_or_empty, written
+from .common import attach, dropped, key_bitmap, maybe_flag, maybe_in, text_or_empty, written
 
 
 def lines_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +59,17 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, gram_words: int) -> list
     return [(grams[i], i, int(ends[i]) - i) for i in chosen]
 
 
+def runs(own: np.ndarray, other: np.ndarray, matches: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The runs of own that extended matches (p, q, length) give; a match within a run of its diagonal gives no new one."""
+    out, reached = [], {}
+    for p, q, length in sorted(matches):
+        if p + length > reached.get(p - q, -1):
+            a, b = run(own, other, p, q, length)
+            out.append((a, b))
+            reached[p - q] = b
+    return out
+
+
 def run(own: np.ndarray, other: np.ndarray, p: int, q: int, length: int) -> tuple[int, int]:
     """The match of own[p:p+length] with other[q:q+length], extended both ways."""
     a = 0
@@ -95,28 +107,33 @@ def dedup_lines(
     gram_type = "array<struct<h:long,pos:int,len:int>>"
     seen = written(texts.mapInArrow(describe, f"id long, th long, hashes binary, grams {gram_type}"), "line-hashes")
     marks = seen.select("id", "th", F.explode("grams").alias("g")).select("g.h", "id", "th", "g.pos", "g.len")
-    first = marks.groupBy("h").agg(F.min(F.struct("id", "th", "pos")).alias("f"), F.max(F.struct("id", "th", "pos")).alias("l"))
-    first = written(first.filter("f <> l").select("h", "f"), "line-firsts")
-    later = marks.join(first, "h").filter(F.struct("id", "th", "pos") != F.col("f"))
-    later = later.select("id", "th", "pos", "len", F.col("f.id").alias("sid"), F.col("f.th").alias("sth"), F.col("f.pos").alias("spos"))
-    later = written(later, "line-matches")
+    place_of = F.struct("id", "th", "pos")
+    first = marks.groupBy("h").agg(F.min(place_of).alias("f"), F.max(place_of).alias("l"), F.count(F.lit(1)).alias("__w"))
+    first = written(first.filter("f <> l").select("h", "f", "__w"), "line-firsts")
+    repeated = maybe_in(marks, "h", key_bitmap(first, "h"))
+    later = attach(repeated, first, ["h"], "__w", first.agg(F.coalesce(F.sum("__w"), F.lit(0))).first()[0])
+    later = later.filter(F.col("f").isNotNull() & (F.struct("id", "th", "pos") != F.col("f")))
+    match = F.struct("pos", F.col("f.pos").alias("spos"), "len")
+    pairs = later.groupBy("id", "th", F.col("f.id").alias("sid"), F.col("f.th").alias("sth")).agg(F.collect_set(match).alias("matches"))
+    pairs = written(pairs, "line-matches")
+    dropped(first)
     source = seen.select(F.col("id").alias("sid"), F.col("th").alias("sth"), F.col("hashes").alias("other")).dropDuplicates(["sid", "sth"])
     own = seen.select("id", "th", F.col("hashes").alias("own")).dropDuplicates(["id", "th"])
-    asked = later.join(source, ["sid", "sth"]).join(own, ["id", "th"])
+    asked = pairs.join(source, ["sid", "sth"]).join(own, ["id", "th"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = {n: batch.column(n).to_pylist() for n in ("id", "th", "sid", "sth", "pos", "len", "spos", "own", "other")}
-            a, b = [], []
-            for k in range(batch.num_rows):
-                mine, theirs = np.frombuffer(x["own"][k], np.uint64), np.frombuffer(x["other"][k], np.uint64)
-                p, q = run(mine, theirs, x["pos"][k], x["spos"][k], x["len"][k])
-                a.append(p)
-                b.append(q)
-            columns = [batch.column("id"), batch.column("th"), pa.array(a, pa.int32()), pa.array(b, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "a", "b"])
-
-    found = asked.select("id", "th", "sid", "sth", "pos", "len", "spos", "own", "other").mapInArrow(extend, "id long, th long, a int, b int")
+            for at in range(0, batch.num_rows, 512):
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                for row in batch.slice(at, 512).to_pylist():
+                    mine, theirs = np.frombuffer(row["own"], np.uint64), np.frombuffer(row["other"], np.uint64)
+                    for p, q in runs(mine, theirs, [(m["pos"], m["spos"], m["len"]) for m in row["matches"]]):
+                        for column, value in zip(out, (row["id"], row["th"], p, q), strict=True):
+                            column.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["id", "th", "a", "b"])
+
+    found = asked.select("id", "th", "matches", "own", "other").mapInArrow(extend, "id long, th long, a int, b int")
     cuts = found.distinct().groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("__cuts"))
     cuts = written(cuts, "line-cuts")
 

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
-from prefixloom.llm.line_dedup import dedup_lines, fingerprints, lines_of
+from prefixloom.llm.line_dedup import dedup_lines, fingerprints, lines_of, runs
 
 
 def brute(rows, gram_words):
@@ -50,6 +51,65 @@ def corpus(rng):
     return rows
 
 
+def plain(rows, gram_words):
+    """The operator written out again, with lines as tuples of words and nothing of the module but its hash, since the
+    smallest hash in a window is what is chosen."""
+    h64 = xxhash.xxh3_64_intdigest
+    docs = {}
+    for i, t in sorted(rows):
+        lines = (t or "").split("\n")
+        docs[i] = [(k, tuple(x.split())) for k, x in enumerate(lines) if x.split()]
+    chosen = {}
+    for i, lines in docs.items():
+        grams = []
+        for a in range(len(lines)):
+            b, n = a, 0
+            while b < len(lines) and n < gram_words:
+                n += len(lines[b][1])
+                b += 1
+            if n >= gram_words:
+                each = [h64(" ".join(w).encode()) for _, w in lines[a:b]]
+                grams.append((each[0] if b == a + 1 else h64(b"".join(x.to_bytes(8, "little") for x in each)), a, b))
+        last, picks = None, []
+        for k, (_, a, b) in enumerate(grams):
+            window = grams[k : k + b - a]
+            least = min(g for g, _, _ in window)
+            if last is None or last[1] < a or last[0] != least:
+                last = [g for g in window if g[0] == least][-1]
+                picks.append(last)
+        chosen[i] = picks
+    first, gone = {}, {i: set() for i in docs}
+    for i in sorted(docs):
+        for g, a, b in sorted(chosen[i], key=lambda x: x[1]):
+            if g not in first:
+                first[g] = (i, a)
+                continue
+            j, c = first[g]
+            mine, theirs = [w for _, w in docs[i]], [w for _, w in docs[j]]
+            lo = next((d for d in range(min(a, c)) if mine[a - d - 1] != theirs[c - d - 1]), min(a, c))
+            most = min(len(mine) - a, len(theirs) - c)
+            hi = next((d for d in range(most) if mine[a + d] != theirs[c + d]), most)
+            gone[i] |= {docs[i][k][0] for k in range(a - lo, a + hi)}
+    return {i: (t if not gone[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t in rows}
+
+
+def test_written_out_again(spark):
+    rows = corpus(random.Random(7))
+    long = [f"line {k} of a long text with some words" for k in range(400)]
+    rows += [(400, "\n".join(long)), (401, "\n".join(long)), (402, "\n".join(long[:150] + ["between"] + long[150:])), (403, "\n".join(long[200:] + long[:200]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["text"], r["gone"]) for r in dedup_lines(df, gram_words=25, removed_col="gone").collect()}
+    assert got == plain(rows, 25)
+    assert got[401] == ("", 400) and got[402] == ("between", 400)
+
+
+def test_a_pair_of_long_copies_is_one_row():
+    lines = np.arange(5000, dtype=np.uint64)
+    matches = [(p, p, 3) for p in range(0, 4990, 7)]
+    assert runs(lines, lines, matches) == [(0, 5000)]
+    assert runs(lines, np.roll(lines, -2000), [(2000, 0, 3), (2100, 100, 3), (0, 3000, 3)]) == [(0, 2000), (2000, 5000)]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_memory(spark, seed):
     rows = corpus(random.Random(seed))
