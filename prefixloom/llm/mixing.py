@@ -10,7 +10,8 @@ hash of id to blocks of about `block_tokens` tokens; every pass has its own seed
 within a block of its documents.  The partial pass takes whole blocks in its order while they fit the rest of the budget, and of
 the next block documents while their running sum fits, so a source's tokens miss their target by less than a document.
 
-Only one row a source and one number a step reach the driver.  Running sums are taken over blocks of a source and
+Texts are read once, for their tokens.  Only one row a source and one number a step reach the driver; more than `most_sources`
+sources are an error, and so is a target that no exponent meets.  Running sums are taken over blocks of a source and
 over the documents of one block, never over a source.
 
 Null sources are a source of their own.  Null and empty texts have no tokens; they come along in every pass of their
@@ -54,17 +55,22 @@ def repetitions(tokens: list[int], t: float, budget: float | None) -> list[float
 
 
 def bisect(tokens: list[int], target_entropy: float | None, max_repeats: float | None, budget: float | None, steps: int = 60) -> float:
-    """Exponent between 0 (equal weights) and 1 (as they are): the smallest that keeps the entropy at the target or
-    below, or the repetitions at the limit or below.  Both fall as the exponent rises towards 1."""
+    """The smallest exponent, from 0 (equal weights) by way of 1 (as they are), that keeps the entropy at the target or below and the
+    repetitions at the limit or below.  The entropy falls as the exponent rises, beyond 1 too; repetitions are least at 1.  If
+    no exponent will do, no mixture meets the target, which is an error."""
 
     def met(t: float) -> bool:
         if target_entropy is not None and entropy(weights(tokens, t)) > target_entropy:
             return False
-        return max_repeats is None or max(repetitions(tokens, t, budget)) <= max_repeats
+        return max_repeats is None or max(repetitions(tokens, t, budget)) <= max_repeats * (1 + 1e-12)
 
     low, high = 0.0, 1.0
     if met(low):
         return low
+    while not met(high):
+        low, high = high, 2 * high
+        if target_entropy is None or high > 1024:
+            raise ValueError(f"no mixture meets the target: entropy {target_entropy}, repeats {max_repeats}, budget {budget}")
     for _ in range(steps):
         mid = (low + high) / 2
         low, high = (low, mid) if met(mid) else (mid, high)
@@ -76,9 +82,20 @@ def source_key(source_col: str = "source") -> Column:
     return F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"))
 
 
-def mixture(df: DataFrame, text_col: str, source_col: str, target_entropy: float | None, max_repeats: float | None, budget: float | None, block_tokens: int) -> DataFrame:
+def mixture(
+    df: DataFrame, text_col: str, source_col: str, target_entropy: float | None, max_repeats: float | None, budget: float | None, block_tokens: int,
+    most_sources: int = 1 << 16,
+) -> DataFrame:
     """A row a source: s, tokens, weight, repetitions, exponent, blocks, whole (passes), rest (tokens of the partial pass)."""
-    found = df.select(source_key(source_col).alias("s"), tokens_of(text_col).alias("n")).groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").collect()
+    counted = df.select(source_key(source_col).alias("s"), tokens_of(text_col).alias("n"))
+    return _mixture(counted, target_entropy, max_repeats, budget, block_tokens, most_sources)
+
+
+def _mixture(counted: DataFrame, target_entropy, max_repeats, budget, block_tokens: int, most_sources: int) -> DataFrame:
+    """mixture() of rows (s, n)."""
+    found = counted.groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").limit(most_sources + 1).collect()
+    if len(found) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     tokens = [r["n"] for r in found]
     t, w, reps = 1.0, [0.0] * len(tokens), [1.0] * len(tokens)
     if any(tokens):
@@ -90,23 +107,29 @@ def mixture(df: DataFrame, text_col: str, source_col: str, target_entropy: float
         whole = math.floor(rep)
         rows.append(((r["s"]["none"], r["s"]["name"]), r["n"], weight, rep, t, max(1, -(-r["n"] // block_tokens)), whole, int((rep - whole) * r["n"])))
     schema = "s struct<none:boolean,name:string>, tokens long, weight double, repetitions double, exponent double, blocks long, whole int, rest long"
-    return df.sparkSession.createDataFrame(rows, schema)
+    return counted.sparkSession.createDataFrame(rows, schema)
 
 
 def _uses(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = None,
-    max_repeats: float | None = 1.5, budget: float | None = None, block_tokens: int = 2_000_000, seed: int = 17,
+    max_repeats: float | None = 1.5, budget: float | None = None, block_tokens: int = 2_000_000, seed: int = 17, most_sources: int = 1 << 16,
 ) -> DataFrame:
     """A row for every use: the document's row as __row, and USE_COLUMNS."""
-    plan = mixture(df, text_col, source_col, target_entropy, max_repeats, budget, block_tokens)  # one row a source
+    counted = df.select(
+        source_key(source_col).alias("s"), F.col(id_col).cast("string").alias("__id"), F.xxhash64(text_or_empty(text_col)).alias("__th"),
+        tokens_of(text_col).alias("n"),
+    )
+    counted = written(counted, "mix-counted")  # the one pass that counts tokens
+    plan = _mixture(counted, target_entropy, max_repeats, budget, block_tokens, most_sources)  # a row a source, most_sources at most
     small = F.broadcast(plan.select("s", "blocks", "whole", "rest"))
     seeded = lambda *c: F.xxhash64(*c, F.lit(seed))
     th = F.xxhash64(text_or_empty(text_col))
-    block = F.pmod(seeded(F.col(id_col).cast("string"), F.col("__th")), F.col("blocks")).alias("mix_block")
+    block = F.pmod(seeded(F.col("__id"), F.col("__th")), F.col("blocks")).alias("mix_block")
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
-    rows = df.select(row, source_key(source_col).alias("s"), th.alias("__th"), F.col(id_col).cast("string").alias("__id"), F.col(id_col), tokens_of(text_col).alias("n"))
-    dealt = rows.join(small, "s").select("__row", "s", "__th", "__id", "n", "rest", "whole", block)
-    narrow = written(dealt.drop("__row").groupBy("s", "mix_block", "__id", "__th", "rest", "whole").agg(F.sum("n").alias("n")), "mix-documents")
+    rows = df.select(row, source_key(source_col).alias("s"), th.alias("__th"), F.col(id_col).cast("string").alias("__id"))
+    dealt = rows.join(small, "s").select("__row", "s", "__th", "__id", block)
+    narrow = counted.join(small, "s").select("s", "__th", "__id", "n", "rest", "whole", block)
+    narrow = written(narrow.groupBy("s", "mix_block", "__id", "__th", "rest", "whole").agg(F.sum("n").alias("n")), "mix-documents")
     # every pass permutes the source's blocks; the partial pass ends where its tokens are used up
     blocks = narrow.groupBy("s", "mix_block", "rest", "whole").agg(F.sum("n").alias("bt"))
     last = F.col("whole") - F.when(F.col("rest") > 0, F.lit(0)).otherwise(F.lit(1))
