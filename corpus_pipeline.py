@@ -28,7 +28,8 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return predict_languages(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
+    found = predict_languages(docs, model, pred_col="__pipeline_lang", score_col="__pipeline_score")
+    return found.filter("__pipeline_lang <> 'und'").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
