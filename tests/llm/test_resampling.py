@@ -52,3 +52,13 @@ def test_odd_rows(spark):
     assert resample(df.limit(0), ids, 0.5).count() == 0
     assert not any(r["selected"] for r in resample(df, ids, 0.0).collect())
     assert xxhash.VERSION
+
+
+def test_buckets_written_out_again():
+    """Words and neighbouring pairs as plain integers modulo 2**64."""
+    top = 2**64
+    for text in ["", "a", "A b  c\nA b", "é字 é字 x " * 3, "one two three two one"]:
+        w = [xxhash.xxh3_64_intdigest(x.encode()) for x in text.lower().split()]
+        pairs = [(a * 0x9E3779B97F4A7C15 % top) ^ ((b + 0x632BE59BD9B4E019) % top) for a, b in zip(w, w[1:], strict=False)]
+        want = [x % 16384 for x in w] + [(p ^ (p >> 29)) % 16384 for p in pairs]
+        assert Grams(16384).of(text).tolist() == want
