@@ -65,35 +65,37 @@ def jump_shard(key: Column, shards: int) -> Column:
 def shard_rows(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Slots number a shard's rows from 0 without gaps, in id order, in two levels: narrow rows (no text) are
-    range-partitioned by id and written once; counts per (shard, range) give each range's offset; ranks are
-    taken inside (shard, range).  So no task holds a whole shard, and ids that repeat are split by the further keys.
+    Slots number a shard's rows from 0 without gaps, in id order, in two levels: narrow rows (no text), equal ones as one with
+    their number, are range-partitioned by id and written once; counts per (shard, range) give each range's offset; ranks are
+    taken inside (shard, range).  So no task holds a whole shard, ids that repeat are split by the further keys, and equal
+    rows, however many, collapse before the shuffle and are told apart again in place.
     """
     text = text_or_empty(text_col)
     narrow = df.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
+    ).groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("__copies"))
     state = _walk(F.coalesce(F.col("doc_id"), F.lit(0).cast("long")), shards + 1)
     ranged = (
         narrow.repartitionByRange(F.col("doc_id"), F.col("text_crc32"), F.col("size"))
         .withColumn("__s", state)
         .select(
-            "doc_id", "size", "text_crc32",
+            "doc_id", "size", "text_crc32", "__copies",
             F.when(F.col("__s.bucket") == shards, F.col("__s.before")).otherwise(F.col("__s.bucket")).cast("int").alias("shard"),
             F.col("__s.bucket").cast("int").alias("grown_shard"), F.spark_partition_id().alias("__range"),
         )
     )
     rows = written(ranged, "sharding")
-    counts = rows.groupBy("shard", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    counts = rows.groupBy("shard", "__range").agg(F.sum("__copies").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("shard", "__range").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "__range").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("__rank", F.row_number().over(inside).cast("long"))
+        rows.withColumn("__start", F.coalesce(F.sum("__copies").over(inside), F.lit(0)))
         .join(offsets, ["shard", "__range"])
+        .withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
         .select(
             "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-            (F.col("__offset") + F.col("__rank") - 1).alias("slot"), "grown_shard",
+            (F.col("__offset") + F.col("__start") + F.col("__copy")).alias("slot"), "grown_shard",
         )
     )
