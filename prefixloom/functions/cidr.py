@@ -1,5 +1,5 @@
-"""Addresses and blocks.  IPv4 is column arithmetic on longs; IPv6 stays in binary and is only
-parsed, masked, printed and emitted in Arrow-batched functions.
+"""Addresses and blocks.  IPv4 is column arithmetic on longs; IPv6 stays in binary, is masked and printed by column functions on its
+hexadecimal digits, and only parsed, bounded and emitted in Arrow-batched functions.
 
 Ranges are half open, [lo, end).  For IPv6 both ends are 17-byte big-endian binaries, so that 2**128 exists
 and Spark's unsigned byte order is the order of addresses.
@@ -213,9 +213,30 @@ def parse_cidr(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["fam", "pfx", "ip"]).astype({"fam": "Int8", "pfx": "Int16"})
 
 
-@F.pandas_udf(T.StringType())
-def v6_text(ip: pd.Series) -> pd.Series:
-    return ip.map(lambda x: v6_string(x) if x is not None and len(x) == 16 else None)
+def v6_text(ip: Column) -> Column:
+    """v6_string() as columns; null for an address of another length."""
+    groups = F.regexp_replace(F.lower(F.hex(ip)), "(.{4})(?=.)", "$1:")
+    padded = F.concat(F.lit(":"), F.regexp_replace(groups, "(^|:)0{1,3}(?=[0-9a-f])", "$1"), F.lit(":"))
+
+    def shortened(p: Column) -> Column:
+        runs = F.transform(F.regexp_extract_all(p, F.lit("((?::0){2,})(?=:)")), lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("i"), r.alias("r")))
+        best = F.array_max(runs)  # the longest, the first of those
+        at = F.instr(p, F.concat(best["r"], F.lit(":")))
+        head, tail = F.substr(p, F.lit(2), at - 2), F.substr(p, at + best["n"] + 1, F.length(p) - at - best["n"] - 1)
+        return F.when(F.size(runs) > 0, F.concat(F.when(at > 1, head).otherwise(""), F.lit("::"), tail)).otherwise(F.substr(p, F.lit(2), F.length(p) - 2))
+
+    # an array of one binds the text, which would else be written out at every use
+    return F.when(F.length(ip) == 16, F.get(F.transform(F.array(padded), shortened), F.lit(0)))
+
+
+def v6_net(ip: Column, pfx: Column) -> Column:
+    """The address with the bits behind the prefix cleared."""
+    digits, whole, part = F.hex(ip), F.floor(pfx / 4).cast("int"), pfx % 4
+    head = F.substr(digits, F.lit(1), whole)
+    nibble = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    step = F.when(part == 1, 8).when(part == 2, 4).otherwise(2)
+    kept = F.when(part == 0, head).otherwise(F.concat(head, F.hex(nibble - nibble % step)))
+    return F.when((F.length(ip) == 16) & (pfx <= 128), F.unhex(F.rpad(kept, 32, "0")))
 
 
 @F.pandas_udf(BOUNDS)
@@ -248,6 +269,6 @@ def entry_text(fam: Column, pfx: Column, ip: Column) -> Column:
 def entry_key(fam: Column, pfx: Column, ip: Column) -> Column:
     """Normalised key: valid entries by network and prefix, others by their very bytes."""
     v4 = F.when((fam == 4) & (pfx <= 32), v4_lo(v4_num(F.when(fam == 4, ip)), F.least(pfx, F.lit(32))))
-    v6 = F.when((fam == 6) & (pfx <= 128), v6_range(F.when(fam == 6, ip), pfx).getField("lo"))
-    net = F.when(v4.isNotNull(), v4_bytes(v4)).when(v6.isNotNull(), F.substring(v6, 2, 16)).otherwise(F.coalesce(ip, F.lit(b"")))
+    v6 = F.when((fam == 6) & (pfx <= 128), v6_net(ip, pfx))
+    net = F.when(v4.isNotNull(), v4_bytes(v4)).when(v6.isNotNull(), v6).otherwise(F.coalesce(ip, F.lit(b"")))
     return F.struct(fam.alias("fam"), pfx.alias("pfx"), net.alias("net"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefixloom.functions import cidr
@@ -86,15 +86,15 @@ def table_rows(diff: DataFrame, only_changed: bool = True, limit: int = 3001) ->
 
 
 def exact_entries(a: DataFrame, b: DataFrame, kind: str, keys: list[str] | None = None) -> DataFrame:
-    """Entries with side onlyA, onlyB or common (spelled as in a), the first of every key, by semi and anti joins."""
+    """Entries with side onlyA, onlyB or common (spelled as in a), the first of every key: one pre-aggregation over both sides."""
     keys = keys or []
-    own = [c for c in a.columns]
-    one = lambda d: entries.dedupe(d, kind, keys).withColumn("__k", entries.key_of(kind))
-    da, db = one(a), one(b)
-    on = [*keys, "__k"]
-    parts = [(da, db, "left_anti", "onlyA"), (db, da, "left_anti", "onlyB"), (da, db, "left_semi", "common")]
-    out = [x.join(y.select(*on), on, how).select(*own, F.lit(s).alias("side")) for x, y, how, s in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    own = [c for c in a.columns if c not in keys]
+    tag = lambda d, s: d.select(*keys, entries.key_of(kind).alias("__k"), "ord", F.struct(*own).alias("__r"), F.lit(s).alias("__s"))
+    first = lambda s: F.min_by("__r", F.when(F.col("__s") == s, F.col("ord")))
+    met = tag(a, 1).unionByName(tag(b, 2)).groupBy(*keys, "__k").agg(first(1).alias("__a"), first(2).alias("__b"))
+    in_a, in_b = F.col("__a").isNotNull(), F.col("__b").isNotNull()
+    side = F.when(in_a & in_b, "common").when(in_a, "onlyA").otherwise("onlyB")
+    return met.select(*keys, F.coalesce("__a", "__b").alias("__r"), side.alias("side")).select(*keys, "__r.*", "side").select(*a.columns, "side")
 
 
 def coverage_entries(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -117,10 +117,8 @@ def in_slot(df: DataFrame, file: str, cat_ord: int, cat: str) -> DataFrame:
 
 def numbered_blocks(blocks: DataFrame, file: str, cat_ord: int, cat: str) -> DataFrame:
     """Blocks as entries of one category: all IPv4, then all IPv6, ascending."""
-    w = Window.partitionBy("fam").orderBy("ip")
-    four = F.count_if(F.col("fam") == 4).over(Window.partitionBy(F.lit(0)))
-    rows = in_slot(blocks, file, cat_ord, cat).withColumn("ord", (F.row_number().over(w) - 1 + F.when(F.col("fam") == 6, four).otherwise(0)).cast("long"))
-    return rows.select(*entries.SLOT, "ord", "fam", "pfx", "ip")
+    rows = in_slot(blocks, file, cat_ord, cat)
+    return entries.renumbered(rows, "fam", "ip", coarse=[entries.ip_cell()]).select(*entries.SLOT, "ord", "fam", "pfx", "ip")
 
 
 def apply_diff(a: DataFrame, b: DataFrame, kind: str, what: str, mode: str, file: str, cat_ord: int, cat: str) -> DataFrame:

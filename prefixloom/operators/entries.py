@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prefixloom.functions import cidr, site
 from prefixloom.operators import ranges
+from prefixloom.shared import stored
 
 SLOT = ["file", "cat_ord", "cat"]
 
@@ -22,16 +23,50 @@ def key_of(kind: str) -> Column:
     return site.rule_key(F.col("type"), F.col("val"), F.col("attrs"))
 
 
-def renumbered(df: DataFrame, *order: Column | str, keys: list[str] = SLOT) -> DataFrame:
-    """ord counted from 0 per category in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*(order or ("ord",)))
-    return df.withColumn("ord", (F.row_number().over(w) - 1).cast("long"))
+CELL_BITS = 16
+
+
+def ord_cell(col: str = "ord") -> Column:
+    """A coarse place that grows with a number: cells of 65,536."""
+    return F.shiftright(col, CELL_BITS)
+
+
+def renumbered(df: DataFrame, *order: Column | str, keys: list[str] = SLOT, coarse: list[Column] | None = None) -> DataFrame:
+    """ord counted from 0 per category in the given order.
+
+    coarse: columns that grow with the order, coarsest first, which cut a category into cells: rows are ranked within a cell only,
+    and a cell's first number comes from the pre-aggregated sizes of the cells before it, level by level.  So a category of any size
+    is many tasks.  As the rows are read for both, they are stored in the shared folder first, which also cuts the plan of a chain of
+    edits; where there is no such folder, a category is ranked as one.  Without an order, rows keep the order of ord."""
+    if not order:
+        order, coarse = ("ord",), coarse or [ord_cell()]
+    names = [f"__g{i}" for i in range(len(coarse or []))]
+    celled = df.withColumns({n: F.struct(c.alias("v")) for n, c in zip(names, coarse or [], strict=True)})
+    table = stored(celled, "cells") if names else None
+    if table is None:
+        names, table = [], celled
+    celled = table
+    rank = (F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)) - 1).cast("long")
+    out = celled.withColumn("__rank", rank)
+    sizes = celled.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n")) if names else None
+    place = F.col("__rank")
+    while names:
+        before = Window.partitionBy(*keys, *names[:-1]).orderBy(names[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        start = f"__start{len(names)}"
+        starts = sizes.select(*keys, *names, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(start))
+        out = out.join(starts, [*keys, *names])
+        place = place + F.col(start)
+        names = names[:-1]
+        sizes = sizes.groupBy(*keys, *names).agg(F.sum("__n").alias("__n"))
+    kept = [F.col(c) for c in df.columns if c != "ord"]
+    at = df.columns.index("ord") if "ord" in df.columns else len(kept)
+    return out.select(*kept[:at], place.cast("long").alias("ord"), *kept[at:])
 
 
 def pick(df: DataFrame, index: DataFrame) -> DataFrame:
     """Rows by (cat_ord, ord), in the index's order of `pos`."""
     got = df.join(index.select("cat_ord", "ord", "pos"), ["cat_ord", "ord"])
-    return renumbered(got, "pos").select(df.columns)
+    return renumbered(got, "pos", coarse=[ord_cell("pos")]).select(df.columns)
 
 
 def remove(df: DataFrame, index: DataFrame) -> DataFrame:
@@ -51,7 +86,7 @@ def concat(tables: list[DataFrame], file: str, cat_ord: int, cat: str) -> DataFr
     tagged = [t.withColumn("__t", F.lit(i)) for i, t in enumerate(tables)]
     rows = reduce(DataFrame.unionByName, tagged)
     rows = rows.withColumns({"file": F.lit(file), "__c": F.col("cat_ord"), "cat_ord": F.lit(cat_ord), "cat": F.lit(cat)})
-    return renumbered(rows, "__t", "__c", "ord").drop("__t", "__c")
+    return renumbered(rows, "__t", "__c", "ord", coarse=[F.struct("__t", "__c"), ord_cell()]).drop("__t", "__c")
 
 
 def reverse_clash(categories: DataFrame, counts: DataFrame) -> DataFrame:
@@ -75,19 +110,52 @@ def sort_order(kind: str, how: str = "value") -> list[Column]:
     return {"value": [val, type_], "type": [type_, val], "host": [site.host_order(val), type_]}[how] + [F.col("ord")]
 
 
+def ip_cell() -> Column:
+    """Family and the leading bytes of an address: a coarse place in the order of blocks."""
+    lead = F.when(F.col("fam") == 4, F.substring("ip", 1, 2)).when(F.col("fam") == 6, F.substring("ip", 1, 4))
+    return F.struct(F.col("fam").alias("f"), lead.alias("l"))
+
+
+def sort_cells(kind: str, how: str = "value") -> list[Column]:
+    """Coarse places in the order that sort_order() gives."""
+    if kind == "geoip":
+        return [ip_cell()]
+    val = {"value": F.col("val"), "type": F.col("val"), "host": site.host_order(F.col("val"))}[how]
+    first = [F.col("type")] if how == "type" else []
+    return [*first, F.substring(val, 1, 3), F.substring(val, 1, 8)]
+
+
 def sort(df: DataFrame, kind: str, how: str = "value") -> DataFrame:
-    return renumbered(df, *sort_order(kind, how))
+    return renumbered(df, *sort_order(kind, how), coarse=sort_cells(kind, how))
 
 
 def page(df: DataFrame, start: int, rows: int) -> DataFrame:
-    """A window of rows in file order: the global row number is a category's offset plus the place in it."""
+    """A window of rows in file order: the global row number is a category's offset plus ord, which counts from 0 in every
+    category, as all operators leave it.  Only the categories' sizes are aggregated; rows are filtered where they lie."""
     sizes = df.groupBy("file", "cat_ord").count()
     before = Window.partitionBy("file").orderBy("cat_ord").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__o", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    placed = renumbered(df).join(offsets, ["file", "cat_ord"]).withColumn("row", F.col("__o") + F.col("ord")).drop("__o")
+    offsets = sizes.withColumn("__o", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    offsets = offsets.filter((F.col("__o") < start + rows) & (F.col("__o") + F.col("count") > start)).drop("count")
+    placed = df.join(offsets, ["file", "cat_ord"]).withColumn("row", F.col("__o") + F.col("ord")).drop("__o")
     return placed.filter((F.col("row") >= start) & (F.col("row") < start + rows))
 
 
+def between(df: DataFrame, start: int, end: int, shown: DataFrame | None = None) -> DataFrame:
+    """Index (cat_ord, ord, pos) of the rows from row number start to end, both among them, in either direction; of `shown` rows
+    (file, cat_ord, ord) only, if given."""
+    lo, hi = min(start, end), max(start, end)
+    got = page(df, lo, hi - lo + 1)
+    if shown is not None:
+        got = got.join(shown.select("file", "cat_ord", "ord"), ["file", "cat_ord", "ord"], "left_semi")
+    return got.select("cat_ord", "ord", F.col("row").alias("pos"))
+
+
+def counts(df: DataFrame, kind: str) -> DataFrame:
+    """Per file: entries, and those that are not routable (bad; 0 for rules)."""
+    bad = F.count_if(~cidr.is_valid(F.col("fam"), F.col("pfx"))) if kind == "geoip" else F.lit(0).cast("long")
+    return df.groupBy("file").agg(F.count(F.lit(1)).alias("entries"), bad.alias("bad"))
+
+
 def quick_stats(df: DataFrame, kind: str, keys: list[str] = SLOT) -> DataFrame:
     if kind == "geoip":
         valid = cidr.is_valid(F.col("fam"), F.col("pfx"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefixloom.functions import cidr
+from prefixloom.functions import cidr, patterns
 
 #: Selections besides a rule type or address family.
 WITH_ATTRS, INVALID = -2, -3
@@ -23,6 +23,7 @@ class Spec:
     value: object = None
     type: int | None = None
     fam: int | None = None
+    stored: tuple[str, ...] = ()  # columns that the table holds besides an entry's own
 
     @property
     def active(self) -> bool:
@@ -39,11 +40,8 @@ def parse_query(query: str, kind: str, type_: int | None = None, fam: int | None
     if not q:
         return make("all")
     if len(q) > 2 and q[0] == q[-1] == "/":
-        try:
-            re.compile(q[1:-1])
+        if patterns.fault(q[1:-1]) is None:
             return make("regex", q[1:-1])
-        except re.error:
-            pass
     if kind == "geoip":
         if re.fullmatch(r"/[0-9]{1,3}", q):
             return make("prefix", int(q[1:]))
@@ -70,6 +68,8 @@ def _geoip(s: Spec) -> Column:
             size = 1 << (32 - p)
             lo = int.from_bytes(addr, "big") // size * size
             own = F.least(pfx, F.lit(32))
+            if {"lo", "end"} <= set(s.stored):  # plain comparisons of stored columns, which the scan prunes by
+                return out & (fam == 4) & (pfx <= 32) & (F.col("lo") < lo + size) & (F.col("end") > lo)
             return out & (fam == 4) & (pfx <= 32) & (cidr.v4_lo(num, own) < lo + size) & (cidr.v4_end(num, own) > lo)
         lo, end = cidr.v6_bounds(addr, p)
         own = cidr.v6_range(F.when(fam == 6, ip), pfx)
@@ -79,7 +79,7 @@ def _geoip(s: Spec) -> Column:
     if s.how == "v6":
         return out & (fam == 6) & F.coalesce(F.contains(cidr.v6_text(F.when(fam == 6, ip)), F.lit(s.value)), F.lit(False))
     if s.how == "regex":
-        return out & F.rlike(cidr.entry_text(fam, pfx, ip), F.lit(f"(?i){s.value}"))
+        return out & F.rlike(cidr.entry_text(fam, pfx, ip), F.lit(patterns.engine_pattern(s.value)))
     if s.how == "text":
         return out & F.contains(cidr.entry_text(fam, pfx, ip), F.lit(s.value))
     return out
@@ -93,7 +93,7 @@ def _geosite(s: Spec) -> Column:
     elif s.type is not None and s.type >= 0:
         out = F.col("type") == s.type
     if s.how == "regex":
-        return out & F.rlike(val, F.lit(f"(?i){s.value}"))
+        return out & F.rlike(val, F.lit(patterns.engine_pattern(s.value)))
     return out & F.contains(F.lower(val), F.lit(s.value)) if s.how == "text" else out
 
 
@@ -102,7 +102,7 @@ def condition(s: Spec) -> Column:
 
 
 def apply(df: DataFrame, query: str, kind: str, type_: int | None = None, fam: int | None = None) -> DataFrame:
-    spec = parse_query(query, kind, type_, fam)
+    spec = replace(parse_query(query, kind, type_, fam), stored=tuple(c for c in ("lo", "end") if c in df.columns))
     return df.filter(condition(spec)) if spec.active else df
 
 

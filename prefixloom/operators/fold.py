@@ -27,11 +27,12 @@ def covered_by_keyword(rules: DataFrame, keywords: DataFrame, keys: list[str], v
     """ids of rules whose value contains a keyword of `keywords` (keys, __w).  A keyword rule doesn't fold an equal one.
 
     Keywords join on their first three characters with the rules' character triples, so a rule meets the few keywords that
-    could be in it; shorter keywords join on their own length of characters.
+    could be in it; keywords of one or two characters join on the rules' parts of that length, which are made only if there are any.
     """
     words = keywords.distinct().withColumn("__g", F.substring("__w", 1, 3))
+    short = {n for (n,) in words.filter(F.length("__w") < 3).select(F.length("__w").alias("n")).distinct().collect()}  # 1 and 2 at most
     at = F.sequence(F.lit(1), F.greatest(F.length(val), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*(F.substr(val, i, F.lit(n)) for n in (1, 2, 3))))))
+    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*(F.substr(val, i, F.lit(n)) for n in sorted({3, *short}))))))
     rows = rules.select(*keys, *(c for c in id_cols if c not in keys), val.alias("__v"), F.col("type").alias("__t"), F.explode(grams).alias("__g"))
     hit = rows.join(words, [*keys, "__g"]).filter(F.contains("__v", "__w"))
     if same_type:
@@ -77,7 +78,8 @@ def optimize(df: DataFrame, kind: str, fold_rules: bool = True, keyword: bool =
         bad = df.filter(~cidr.is_valid(F.col("fam"), F.col("pfx"))).select(*entries.SLOT, F.lit(1).alias("__g"), "ord", "fam", "pfx", "ip")
         both = least.unionByName(bad)
         place = [F.col("__g"), F.col("ord"), F.when(F.col("__g") == 0, F.col("fam")), F.when(F.col("__g") == 0, F.col("ip"))]
-        return entries.renumbered(both, *place).select(*entries.SLOT, "ord", "fam", "pfx", "ip")
+        cells = [F.col("__g"), entries.ord_cell(), F.when(F.col("__g") == 0, entries.ip_cell())]
+        return entries.renumbered(both, *place, coarse=cells).select(*entries.SLOT, "ord", "fam", "pfx", "ip")
     out = entries.dedupe(df, kind)
     if fold_rules:
         out = fold(out, keyword=keyword)

@@ -1,9 +1,9 @@
 """Interval algebra over ranges (keys..., lo, end), half open, any orderable type.
 
-IPv4 ranges go in two levels, so that one category of any size is spread over tasks: ranges are cut at the borders of
-2**20-address buckets and merged per (keys, bucket), which holds at most 2**20 different starts; then only the
-ranges that touch a bucket's border are merged again per keys, at most two a bucket.  IPv6 ranges are
-pre-aggregated by start and merged per keys.
+Ranges go in two levels, so that one category of any size is spread over tasks: ranges are cut at the borders of
+buckets and merged per (keys, bucket); then only the ranges that touch a bucket's border are merged again per keys, at most two a
+bucket.  An IPv4 bucket has 2**16 addresses; an IPv6 bucket is what shares the first 20 bits, so blocks of one such
+prefix are still one task's sort.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from prefixloom.functions import cidr
 
-BUCKET_BITS = 20
+BUCKET_BITS = 16
+#: Hexadecimal digits of a 17-byte bound that name its IPv6 bucket: two of the byte that makes 2**128 fit, five of the address.
+BUCKET_DIGITS = 7
 
 
 def ranges4(entries: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,19 +48,34 @@ def clipped(df: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
     return spread.withColumn("__lo", lo).withColumn("end", end).drop("lo").withColumnRenamed("__lo", "lo")
 
 
-def _stitch(merged: DataFrame, keys: list[str], bits: int = BUCKET_BITS) -> DataFrame:
+def _bucket6(bound: str) -> Column:
+    return F.conv(F.substring(F.hex(bound), 1, BUCKET_DIGITS), 16, 10).cast("long")
+
+
+def _on_border6(bound: str) -> Column:
+    return F.substring(F.hex(bound), BUCKET_DIGITS + 1, 34) == "0" * (34 - BUCKET_DIGITS)
+
+
+def clipped6(df: DataFrame) -> DataFrame:
+    """IPv6 ranges cut at bucket borders, with their bucket."""
+    last = _bucket6("end") - F.when(_on_border6("end"), 1).otherwise(0)
+    spread = df.filter("lo < end").withColumn("__b", F.explode(F.sequence(_bucket6("lo"), last)))
+    border = lambda b: F.unhex(F.rpad(F.lpad(F.hex(b), BUCKET_DIGITS, "0"), 34, "0"))
+    lo, end = F.greatest("lo", border(F.col("__b"))), F.least("end", border(F.col("__b") + 1))
+    return spread.withColumn("__lo", lo).withColumn("end", end).drop("lo").withColumnRenamed("__lo", "lo")
+
+
+def _stitch(merged: DataFrame, keys: list[str], v4: bool = True, bits: int = BUCKET_BITS) -> DataFrame:
     """Second level: ranges that touch a bucket's border, at most two a bucket, are merged across buckets."""
     low = (1 << bits) - 1
-    touches = (F.col("lo").bitwiseAND(low) == 0) | (F.col("end").bitwiseAND(low) == 0)
+    touches = ((F.col("lo").bitwiseAND(low) == 0) | (F.col("end").bitwiseAND(low) == 0)) if v4 else _on_border6("lo") | _on_border6("end")
     edge = islands(merged.filter(touches).select(*keys, "lo", "end"), keys)
     return merged.filter(~touches).select(*keys, "lo", "end").unionByName(edge)
 
 
 def merge_ranges(df: DataFrame, keys: list[str], v4: bool = True) -> DataFrame:
     """Sorted, disjoint, non-touching ranges per keys."""
-    if not v4:
-        return islands(df, keys)
-    return _stitch(islands(clipped(df), [*keys, "__b"]), keys)
+    return _stitch(islands(clipped(df) if v4 else clipped6(df), [*keys, "__b"]), keys, v4)
 
 
 def sweep(a: DataFrame, b: DataFrame, keys: list[str], v4: bool = True) -> DataFrame:
@@ -66,9 +83,8 @@ def sweep(a: DataFrame, b: DataFrame, keys: list[str], v4: bool = True) -> DataF
     both = a.select(*keys, "lo", "end", F.lit(1).alias("__a"), F.lit(0).alias("__z")).unionByName(
         b.select(*keys, "lo", "end", F.lit(0).alias("__a"), F.lit(1).alias("__z"))
     )
-    within = keys
-    if v4:
-        both, within = clipped(both), [*keys, "__b"]
+    within = [*keys, "__b"]
+    both = clipped(both) if v4 else clipped6(both)
     events = both.select(*within, F.explode(F.array(F.struct(F.col("lo").alias("x"), F.col("__a").alias("a"), F.col("__z").alias("b")), F.struct(F.col("end").alias("x"), (-F.col("__a")).alias("a"), (-F.col("__z")).alias("b")))).alias("e"))
     points = events.groupBy(*within, F.col("e.x").alias("x")).agg(F.sum("e.a").alias("a"), F.sum("e.b").alias("b"))
     order = Window.partitionBy(*within).orderBy("x")
@@ -76,9 +92,7 @@ def sweep(a: DataFrame, b: DataFrame, keys: list[str], v4: bool = True) -> DataF
     level = points.select(*within, F.col("x").alias("lo"), F.lead("x").over(order).alias("end"), F.sum("a").over(so_far).alias("a"), F.sum("b").over(so_far).alias("b"))
     side = F.when((F.col("a") > 0) & (F.col("b") > 0), "common").when(F.col("a") > 0, "onlyA").when(F.col("b") > 0, "onlyB")
     segments = level.withColumn("side", side).filter("side is not null and end is not null")
-    if not v4:
-        return islands(segments.select(*keys, "side", "lo", "end"), [*keys, "side"])
-    return _stitch(islands(segments.select(*within, "side", "lo", "end"), [*within, "side"]), [*keys, "side"])
+    return _stitch(islands(segments.select(*within, "side", "lo", "end"), [*within, "side"]), [*keys, "side"], v4)
 
 
 def subtract(a: DataFrame, b: DataFrame, keys: list[str], v4: bool = True) -> DataFrame:

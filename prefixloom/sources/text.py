@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from prefixloom.functions import cidr, site
+from prefixloom.functions import cidr, patterns, site
+from prefixloom.operators import entries
 from prefixloom.schema import TYPE_NUMBERS
 
 #: White space of the text form, for regular expressions.
@@ -17,7 +18,7 @@ SPACE = r"[ \t\n\x0B\f\r   -     　﻿]"
 MOST_ERRORS = 5000
 NO_VALUE = "empty value"
 NO_BLOCK = "not an IP or CIDR"
-REFERENCE = "reference directives cannot be stored in a .dat category"
+REFERENCE = "a reference (geosite:, ext:) points to another file and has no place in a rule category"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -33,9 +34,12 @@ def lines(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
 
 def stripped(text: Column) -> Column:
     """Without a comment, which `#` or `//` open anywhere, and trimmed."""
-    cut = F.regexp_replace(text, r"(?s)#.*$", "")
-    cut = F.regexp_replace(cut, r"(?s)//.*$", "")
-    return F.regexp_replace(cut, f"^{SPACE}+|{SPACE}+$", "")
+    cut = F.substring_index(F.substring_index(text, "#", 1), "//", 1)
+    return F.btrim(cut, F.lit(cidr.TRIM))
+
+
+def parse_lines(lines_df: DataFrame, kind: str, keys: list[str]) -> DataFrame:
+    return parse_rules(lines_df, keys) if kind == "geosite" else parse_blocks(lines_df, keys)
 
 
 def _attrs(tokens: Column) -> Column:
@@ -53,16 +57,15 @@ def _attrs(tokens: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def regexp_fault(val: pd.Series) -> pd.Series:
-    """Why a pattern doesn't compile, null if it does."""
+    """Why a pattern isn't valid, null if it is."""
+    return val.map(lambda v: None if v is None else patterns.fault(v))
 
-    def one(v):
-        try:
-            re.compile(v or "")
-            return None
-        except re.error as e:
-            return str(e)
 
-    return val.map(one)
+def _number_fault(tokens: Column) -> Column:
+    """The first attribute whose number doesn't fit 64 bits."""
+    digits = lambda t: F.regexp_extract(t, r"^@[^=]+=\s*([+-]?\d+)", 1)
+    bad = F.filter(tokens, lambda t: (digits(t) != "") & digits(t).try_cast("long").isNull())
+    return F.when(F.size(bad) > 0, F.concat(F.lit("number out of range: "), F.get(bad, F.lit(0))))
 
 
 def parse_rules(lines_df: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,11 +85,11 @@ def parse_rules(lines_df: DataFrame, keys: list[str]) -> DataFrame:
     named = type_.isNotNull()
     val = F.when(named, tail).otherwise(head)
     bad_token = F.size(odd) > 0
-    is_include = ~bad_token & (pre == "include")
+    is_include = ~bad_token & (pre == "include") & _number_fault(rest).isNull()
     typed = F.coalesce(type_, F.lit(2)).cast("short")
     got = parts.select(
         *keys, "line", "text", F.when(bad_token, F.concat(F.lit('unexpected token "'), F.element_at(odd, 1), F.lit('"')))
-        .when(pre.isin("geosite", "ext"), REFERENCE).when((pre != "include") & (val == ""), NO_VALUE).alias("error"),
+        .when(pre.isin("geosite", "ext"), REFERENCE).when((pre != "include") & (val == ""), NO_VALUE).otherwise(_number_fault(rest)).alias("error"),
         F.when(is_include, tail).alias("include"), typed.alias("type"), val.alias("val"), _attrs(rest).alias("attrs"),
     )
     fault = regexp_fault(F.when((F.col("type") == 1) & F.col("error").isNull() & F.col("include").isNull(), F.col("val")))
@@ -103,9 +106,13 @@ def parse_blocks(lines_df: DataFrame, keys: list[str]) -> DataFrame:
     second = F.when(F.size(words) > 1, F.get(words, F.lit(1)))
     token = F.element_at(F.split("__s", f"(?:{SPACE}|[,;])+"), 1)
     raw = raw.withColumn("__t", F.when(~include, token)).filter("__t is null or __t <> ''")
-    got = raw.withColumn("__c", cidr.parse_cidr("__t"))
+    got = raw.withColumn("__4", cidr.parse_v4(F.col("__t")))
+    # the Arrow parser sees a token only where the columns' parser found no IPv4 block
+    other = cidr.parse_cidr(F.when(F.col("__4").isNull() & F.contains("__t", F.lit(":")), F.col("__t")))
+    four = F.struct(F.lit(4).cast("byte").alias("fam"), F.col("__4.pfx").cast("short").alias("pfx"), cidr.v4_bytes(F.col("__4.num")).alias("ip"))
+    got = got.withColumn("__c", F.when(F.col("__4").isNotNull(), four).otherwise(other))
     error = (
-        F.when(include & F.startswith(second, F.lit("@")), "geoip entries carry no @attributes to filter on")
+        F.when(include & F.startswith(second, F.lit("@")), "an include of blocks can't ask for @attributes")
         .when(include & second.isNotNull(), F.concat(F.lit('unexpected token "'), second, F.lit('"')))
         .when(~include & F.col("__c.fam").isNull(), NO_BLOCK)
     )
@@ -128,9 +135,9 @@ def expand_includes(parsed: DataFrame, entries_df: DataFrame, categories: DataFr
     by_name = categories.groupBy(F.upper("name").alias("__n")).agg(F.min_by(F.struct("cat_ord", "name", "reverse"), "cat_ord").alias("__c"))
     asked = parsed.filter("include is not null").withColumn("__n", F.upper("include")).join(by_name, "__n", "left")
     fault = (
-        F.when(F.col("include") == "", "include: names no category")
-        .when(F.col("__c").isNull(), F.concat(F.lit('no category "'), F.col("include"), F.lit('" to include')))
-        .when(F.coalesce(F.col("__c.reverse"), F.lit(False)), F.concat(F.col("__c.name"), F.lit(" is reverse-match: its entries are the addresses it does not match, so including them would invert it")))
+        F.when(F.col("include") == "", "include: without a name")
+        .when(F.col("__c").isNull(), F.concat(F.lit("include of an unknown category: "), F.col("include")))
+        .when(F.coalesce(F.col("__c.reverse"), F.lit(False)), F.concat(F.lit("include of a reverse category: "), F.col("__c.name")))
     )
     asked = asked.withColumn("msg", fault)
     good = asked.filter("msg is null").select(*keys, "line", F.col("__c.cat_ord").alias("cat_ord"), F.col("__c.name").alias("name"), F.col("attrs").alias("__want"))
@@ -143,20 +150,38 @@ def expand_includes(parsed: DataFrame, entries_df: DataFrame, categories: DataFr
     n = rows.groupBy(*keys, "line").agg(F.count(F.lit(1)).alias("n"))
     includes = good.select(*keys, "line", "name").join(n, [*keys, "line"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     plain = parsed.filter("include is null and error is null").select(*keys, "line", F.lit(0).cast("long").alias("__src"), *own_cols)
-    w = Window.partitionBy(*keys).orderBy("line", "__src") if keys else Window.partitionBy(F.lit(0)).orderBy("line", "__src")
-    woven = plain.unionByName(rows.select(*keys, "line", "__src", *own_cols)).withColumn("ord", (F.row_number().over(w) - 1).cast("long"))
+    woven = plain.unionByName(rows.select(*keys, "line", "__src", *own_cols))
+    cells = [F.shiftright("line", 12), F.col("line"), entries.ord_cell("__src")]
+    woven = entries.renumbered(woven, "line", "__src", keys=keys, coarse=cells)
     faults = errors(parsed, [*keys, "line"]).unionByName(asked.filter("msg is not null").select(*keys, "line", "text", "msg"))
     return woven.drop("line", "__src"), faults, includes
 
 
+def _kind(tokens: list[str]) -> str | None:
+    """geoip or geosite, by the first tokens of significant lines; ties are geoip, none is None."""
+    ip = sum(cidr.parsed(t) is not None for t in tokens)
+    return None if not tokens else "geoip" if ip >= len(tokens) - ip else "geosite"
+
+
 def sniff(lines_df: DataFrame) -> str | None:
-    """geoip or geosite, by at most 40 significant lines; ties are geoip, none is None."""
+    """Kind of a text by at most 40 significant lines."""
     raw = lines_df.withColumn("__s", stripped(F.col("text"))).filter("__s <> '' and lower(substring(__s, 1, 8)) <> 'include:'")
     head = raw.orderBy("line").limit(40).select(F.element_at(F.split("__s", f"{SPACE}+"), 1).alias("t")).collect()
-    if not head:
-        return None
-    ip = sum(cidr.parsed(r["t"]) is not None for r in head)
-    return "geoip" if ip >= len(head) - ip else "geosite"
+    return _kind([r["t"] for r in head])
+
+
+def sniff_text(body: str) -> str | None:
+    """sniff() of a text that the driver holds."""
+    cut = (x.split("#", 1)[0].split("//", 1)[0].strip(cidr.TRIM) for x in re.split("\r\n|\r|\n", body))
+    return _kind([re.split(f"[{cidr.TRIM}]+", x)[0] for x in cut if x and x[:8].lower() != "include:"][:40])
+
+
+def mentioned(body: str) -> dict[str, str]:
+    """Names in the include lines of a text that the driver holds: in upper case, with the first spelling."""
+    out: dict[str, str] = {}
+    for m in re.findall(f"(?im)^[{cidr.TRIM}]*include:([^{cidr.TRIM}#]+)", body.replace("\r", "\n")):
+        out.setdefault(m.split("//")[0].upper(), m.split("//")[0])
+    return out
 
 
 def sniff_bytes(name: str, raw: bytes) -> bool:
@@ -175,18 +200,37 @@ def entry_lines(df: DataFrame, kind: str) -> DataFrame:
     return df.withColumn("line", text)
 
 
-def write_text(df: DataFrame, kind: str, path: str, headed: bool = False) -> None:
-    """Lines in file order, sorted by range over tasks; with headers, `# NAME (n)` and a blank line between categories."""
+def text_lines(df: DataFrame, kind: str, headed: bool = False) -> DataFrame:
+    """The lines that write_text() writes, as (cat_ord, o, value) to be ordered by cat_ord and o."""
     rows = entry_lines(df, kind).select("cat_ord", F.col("ord").alias("o"), F.col("line").alias("value"))
     if headed:
         sizes = df.groupBy("cat_ord", "cat").count()
         title = F.concat(F.lit("# "), F.col("cat"), F.lit(" ("), F.col("count").cast("string"), F.lit(")"))
-        first = sizes.agg(F.min("cat_ord")).first()[0]
+        first = sizes.agg(F.min("cat_ord").alias("__first"))  # one row
         rows = rows.unionByName(sizes.select("cat_ord", F.lit(-1).cast("long").alias("o"), title.alias("value")))
-        rows = rows.unionByName(sizes.filter(F.col("cat_ord") != first).select("cat_ord", F.lit(-2).cast("long").alias("o"), F.lit("").alias("value")))
+        blank = sizes.join(F.broadcast(first), F.col("cat_ord") != F.col("__first"))
+        rows = rows.unionByName(blank.select("cat_ord", F.lit(-2).cast("long").alias("o"), F.lit("").alias("value")))
+    return rows
+
+
+def write_text(df: DataFrame, kind: str, path: str, headed: bool = False) -> None:
+    """Lines in file order, sorted by range over tasks; with headers, `# NAME (n)` and a blank line between categories."""
+    rows = text_lines(df, kind, headed)
     rows.repartitionByRange("cat_ord", "o").sortWithinPartitions("cat_ord", "o").select("value").write.mode("overwrite").text(path)
 
 
+def write_diff(diff_entries: DataFrame, kind: str, path: str, title: str) -> None:
+    """The title, then only-A entries marked `-`, then only-B entries marked `+`, each in order."""
+    rows = diff_lines(diff_entries, kind)
+    side = F.when(F.col("side") == "onlyA", 0).otherwise(1)
+    order = [F.col("ord")] if "ord" in rows.columns else [F.col("fam"), F.col("ip"), F.col("pfx")]
+    rows = rows.select(side.alias("s"), F.struct(*order).alias("o"), F.col("line").alias("value"))
+    # the title is the first line of the first range's file, whatever that range is
+    ranged = rows.repartitionByRange("s", "o").sortWithinPartitions("s", "o").select("value")
+    head = rows.sparkSession.createDataFrame([(title,)], "value string").coalesce(1)
+    head.unionAll(ranged).write.mode("overwrite").text(path)
+
+
 def diff_title(cat: str, a: str, b: str, mode: str) -> str:
     return f"# {cat}: {a} vs {b} ({mode})"
 
