@@ -46,7 +46,7 @@ class Database:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, kind: str | None = None) -> Database:
-        kind = kind or routedat.kind_of(routedat.load_bytes(path), path)
+        kind = kind or routedat.kind_of(routedat.Window(path), path)
         cats = routedat.read_categories(spark, path, kind)
         return cls(path.rsplit("/", 1)[-1], kind, Version(cats, routedat.read_dat(spark, path, kind), "load"))
 
@@ -248,20 +248,117 @@ class Database:
         own = self.slot(name)[1] if self._of_or_none(name) is not None else name
         return self.new_category(f"{own}-DIFF", rows.drop("side"))
 
+    # numbers of the file
+
+    def counts(self) -> tuple[int, int]:
+        """(entries, entries that are not routable)"""
+        row = entries.counts(self.entries, self.kind).agg(F.sum("entries").alias("n"), F.sum("bad").alias("bad")).first()
+        return row["n"] or 0, row["bad"] or 0
+
     # writing
 
+    def _chosen(self, names: list[str] | None) -> tuple[DataFrame, DataFrame]:
+        if not names:
+            return self.categories, self.entries
+        chosen = [self.slot(n)[0] for n in names]
+        return self.categories.filter(F.col("cat_ord").isin(chosen)), self.entries.filter(F.col("cat_ord").isin(chosen))
+
+    def file_name(self, names: list[str] | None = None) -> str:
+        """The name that an exported file has: `.dat` is added where it is missing, a choice of categories is a subset."""
+        base = self.name[:-4] if self.name.lower().endswith(".dat") else self.name
+        return f"subset-{base}.dat" if names else self.name if base != self.name else f"{base}.dat"
+
     def export_dat(self, path: str, names: list[str] | None = None) -> None:
-        cats, rows = self.categories, self.entries
-        if names:
-            chosen = [self.slot(n)[0] for n in names]
-            cats, rows = cats.filter(F.col("cat_ord").isin(chosen)), rows.filter(F.col("cat_ord").isin(chosen))
+        cats, rows = self._chosen(names)
         if cats.isEmpty():
-            raise ValueError("nothing to export")
+            raise ValueError(f"{self.name} holds no category to write")
         routedat.write_dat(rows, cats, self.kind, path)
 
+    def export_into(self, folder: str, names: list[str] | None = None) -> str:
+        """export_dat() under the file's own name; gives the path."""
+        path = f"{folder.rstrip('/')}/{self.file_name(names)}"
+        self.export_dat(path, names)
+        return path
+
+    def to_bytes(self, folder: str) -> bytes:
+        """The whole file's bytes, written under `folder` first; a file without categories is refused."""
+        return routedat.load_bytes(self.export_into(folder))
+
     def export_text(self, path: str, name: str | None = None) -> None:
         text.write_text(self.of(name) if name else self.entries, self.kind, path, headed=name is None)
 
+    def export_text_into(self, folder: str, name: str | None = None) -> str:
+        """export_text() under the category's file name, or the file's with `.txt` for its ending; gives the path."""
+        path = f"{folder.rstrip('/')}/{text.file_name(name) if name else self.name.rpartition('.')[0] or self.name}"
+        path = path if path.endswith(".txt") else f"{path}.txt"
+        self.export_text(path, name)
+        return path
+
+    def export_diff(self, other: Database, name: str, path: str, mode: str = "exact", side: str = "both") -> None:
+        """A category's differences as text: a title, only this file's lines with `-`, then only the other's with `+`."""
+        rows = self.category_diff(other, name, mode)
+        kept = {"both": ["onlyA", "onlyB"], "a": ["onlyA"], "b": ["onlyB"]}[side]
+        text.write_diff(rows.filter(F.col("side").isin(kept)), self.kind, path, text.diff_title(name, self.name, other.name, mode))
+
+
+@dataclass
+class Session:
+    """Several files at once, one of them active; a file that is loaded under a name replaces the one that had it."""
+
+    spark: SparkSession
+    files: list[Database] = field(default_factory=list)
+    at: int = -1
+
+    @property
+    def active(self) -> Database | None:
+        return self.files[self.at] if 0 <= self.at < len(self.files) else None
+
+    def file(self, name: str) -> Database:
+        for db in self.files:
+            if db.name == name:
+                return db
+        raise KeyError(name)
+
+    def add(self, db: Database, replace: bool = False) -> Database:
+        """A file behind the others, which becomes active; with replace, files of its name go first."""
+        if replace:
+            self.files = [f for f in self.files if f.name != db.name]
+        self.files.append(db)
+        self.at = len(self.files) - 1
+        return db
+
+    def new(self, name: str, kind: str) -> Database:
+        return self.add(Database.empty(self.spark, name, kind))
+
+    def switch(self, name: str) -> Database:
+        self.at = self.files.index(self.file(name))
+        return self.files[self.at]
+
+    def close(self, name: str, discard: bool = False) -> None:
+        """Close a file; one with edits since it was loaded is refused unless they are to be discarded."""
+        db, was = self.file(name), self.active
+        if db.done and not discard:
+            raise ValueError(f"{name} has unsaved edits")
+        self.files = [f for f in self.files if f is not db]
+        self.at = next((i for i, f in enumerate(self.files) if f is was), len(self.files) - 1)
+
+    def load(self, path: str, kind: str | None = None) -> Database:
+        return self.add(Database.load(self.spark, path, kind), replace=True)
+
+    def load_many(self, paths: list[str]) -> list[Database]:
+        """Files of either form: binary ones in order, then all texts together, which may include from each other and from the
+        active file.  The kind of a file is found out by its ending or its first bytes."""
+        texts, out = {}, []
+        for path in paths:
+            name, raw = path.rstrip("/").rpartition("/")[2], routedat.Window(path)
+            if text.sniff_bytes(name, raw):
+                texts[name] = routedat.load_bytes(path).decode("utf-8", "replace")
+            else:
+                out.append(self.add(Database.load(self.spark, path)))
+        for db in import_texts(self.spark, texts, self.active) if texts else []:
+            out.append(db if any(db is f for f in self.files) else self.add(db))
+        return out
+
 
 def unique_name(names: list[str], base: str) -> str:
     taken = {n.upper() for n in names}
@@ -273,23 +370,43 @@ def unique_name(names: list[str], base: str) -> str:
     return f"{base}-{n}"
 
 
-def parse_text(spark: SparkSession, body: str, kind: str, db: Database | None = None, own: str | None = None, known: dict | None = None, open_: frozenset = frozenset()):
+def _leads_to(known: dict[str, tuple[str, str]]) -> dict[str, frozenset]:
+    """Names that a text includes, or that those include, and so on."""
+    direct = {k: text.mentioned(body).keys() & known.keys() for k, (_, body) in known.items()}
+    out = {}
+    for k in known:
+        seen, todo = set(), [k]
+        while todo:
+            todo += [x for x in direct[todo.pop()] if x not in seen and not seen.add(x)]
+        out[k] = frozenset(seen)
+    return out
+
+
+def parse_text(
+    spark: SparkSession, body: str, kind: str, db: Database | None = None, own: str | None = None, known: dict | None = None,
+    open_: frozenset = frozenset(), read: dict | None = None,
+):
     """(entries with ord, errors, includes) of a text.  Included names are looked up among `known` texts first (name ->
-    (kind, body)), then in db; a name that is being read already is a line error."""
+    (kind, body)), then in db; a name that is being read already is a line error.  `read` keeps what was
+    read, by name and by those open names that it leads to, so a text that many include is read once."""
+    read = {"": _leads_to(known or {})} if read is None else read
     rows = text.lines(spark.createDataFrame([(body,)], "body string"), [], F.col("body"))
     parsed = text.parse_rules(rows, []) if kind == "geosite" else text.parse_blocks(rows, [])
-    asked = {r["include"].upper(): r["include"] for r in parsed.filter("include is not null").select("include").distinct().collect()}
+    asked = text.mentioned(body)
     cats, parts, loops = [], [], {}
     for i, key in enumerate(sorted(asked)):
         if known and key in known and known[key][0] == kind:
             if key in open_:
-                loops[key] = f"include:{asked[key]} loops back to a file that includes it"
+                loops[key] = f"include of {asked[key]} within itself, by way of others"
                 continue
-            got = parse_text(spark, known[key][1], kind, db, None, known, open_ | {key})[0]
+            place = (key, open_ & read[""][key])
+            if place not in read:
+                read[place] = parse_text(spark, known[key][1], kind, db, None, known, open_ | {key}, read)[0]
+            got = read[place]
             cats.append((i, key, False))
         elif db is not None and db.kind == kind and (got := db._of_or_none(key)) is not None:
             if own and own.upper() == key:
-                loops[key] = "a category cannot include itself"
+                loops[key] = "include of the category that is being read"
                 continue
             _, name, reverse = db.slot(key)
             cats.append((i, name, reverse))
@@ -313,12 +430,12 @@ def import_texts(spark: SparkSession, texts: dict[str, str], active: Database |
     """Texts by file name, together: kinds are found out (the first known one, else the active file's, else geosite, stands for
     unknown ones), names are base names in upper case, includes go across the batch.  Texts of the active file's kind become
     categories of it, others files of their own."""
-    kinds = {n: text.sniff(text.lines(spark.createDataFrame([(b,)], "body string"), [], F.col("body"))) for n, b in texts.items()}
+    kinds = {n: text.sniff_text(b) for n, b in texts.items()}
     guess = next((k for k in kinds.values() if k), active.kind if active else "geosite")
     known = {n.rpartition(".")[0].upper() if "." in n else n.upper(): (kinds[n] or guess, b) for n, b in texts.items()}
-    out = []
+    out, read = [], {"": _leads_to(known)}
     for key, (kind, body) in known.items():
-        rows, _, _ = parse_text(spark, body, kind, active, None, known, frozenset({key}))
+        rows, _, _ = parse_text(spark, body, kind, active, None, known, frozenset({key}), read)
         db = active if active is not None and active.kind == kind else Database.empty(spark, key.lower(), kind)
         out.append(db.new_category(key, rows))
     return out
@@ -347,6 +464,15 @@ def percent_saved(before: int, after: int) -> str:
     return f"{(before - after) * 100 / before:.1f}%" if before else "0%"
 
 
+def number_text(n: float) -> str:
+    """A count with a comma between thousands."""
+    return f"{round(n):,}"
+
+
+def bytes_text(n: int) -> str:
+    return f"{n} B" if n < 1 << 10 else f"{n / (1 << 10):.1f} KB" if n < 1 << 20 else f"{n / (1 << 20):.2f} MB"
+
+
 def snapshot(db: Database) -> Database:
     """An independent handle on the same version."""
     return replace(db, done=[], undone=[])

@@ -3,8 +3,9 @@
 Message fields (fixed values of the format): file 1 = category; category 1 = name, 2 = entry, 3 = reverse; block entry
 1 = address, 2 = prefix; rule entry 1 = type, 2 = value, 3 = attribute; attribute 1 = key, 2 = bool, 3 = int.
 
-Reading: the driver walks the framing of the top level only and makes splits of whole categories, and of slices of one
-category when it is large, so a file with one giant category is decoded by many tasks.  Options: kind (geoip, geosite; found out
+Reading: the driver walks the framing of categories and entries through a window of 1 MB and cuts the file by byte offsets into
+runs of about `split` bytes, so a giant category is decoded by many tasks, each of which reads its own bytes once, and small
+categories share a task.  Options: kind (geoip, geosite; found out
 if not given), split (bytes a task, 4 MB).  Writing: every task encodes its rows to fragments, and commit puts fragments of one
 category together in order; rows must be sorted by cat_ord and ord within each task and range-partitioned by them,
 which write_dat() does.
@@ -12,6 +13,7 @@ which write_dat() does.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -121,22 +123,22 @@ def rule(buf: bytes, a: int, b: int) -> tuple[int, str, list | None]:
 
 
 def sniff(buf: bytes) -> str | None:
-    """Kind by the first category's first entry: field 1 is an address of 4 or 16 bytes, or field 2 a value."""
+    """Kind by the very first field of the first category's first entry: an address of 4 or 16 bytes or a prefix make blocks, a
+    type or a value make rules; anything else, and an empty entry, is unknown."""
     try:
-        for field, wire, a, b in fields(buf, 0, len(buf)):
-            if field != 1 or wire != BYTES:
-                return None
-            for f2, w2, x, y in fields(buf, a, b):
-                if f2 != 2 or w2 != BYTES:
-                    continue
-                for f3, w3, p, q in fields(buf, x, y):
-                    if f3 == 1 and w3 == BYTES and q - p in (4, 16):
-                        return "geoip"
-                    if (f3 == 1 and w3 == VARINT) or (f3 == 2 and w3 == BYTES):
-                        return "geosite"
-                return None
+        field, wire, a, b = next(fields(buf, 0, len(buf)))
+        if (field, wire) != (1, BYTES):
             return None
-    except ValueError:
+        for f2, w2, x, y in fields(buf, a, b):
+            if f2 != 2:
+                continue
+            if w2 != BYTES:
+                return None
+            f3, w3, p, q = next(fields(buf, x, y))
+            if (f3, w3) == (1, BYTES):
+                return "geoip" if q - p in (4, 16) else None
+            return {(2, VARINT): "geoip", (1, VARINT): "geosite", (2, BYTES): "geosite"}.get((f3, w3))
+    except (ValueError, StopIteration):
         return None
     return None
 
@@ -203,13 +205,15 @@ def _store(path: str):
 
 
 def _files(path: str) -> list[str]:
+    """The file, or all .dat files of a folder, named as the path was (a URI keeps its scheme and host)."""
     from pyarrow import fs
 
     store, at = _store(path)
     info = store.get_file_info(at)
     if info.type == fs.FileType.Directory:
-        return sorted(f.path for f in store.get_file_info(fs.FileSelector(at)) if f.is_file and f.base_name.endswith(".dat"))
-    return [at]
+        names = sorted(f.base_name for f in store.get_file_info(fs.FileSelector(at)) if f.is_file and f.base_name.endswith(".dat"))
+        return [f"{path.rstrip('/')}/{n}" for n in names]
+    return [path]
 
 
 def load_bytes(path: str) -> bytes:
@@ -218,53 +222,91 @@ def load_bytes(path: str) -> bytes:
         return f.read()
 
 
+class Window:
+    """A file as the driver and the tasks walk it: small reads through a window of bounded size, never the whole file."""
+
+    def __init__(self, path: str, size: int = 1 << 20):
+        store, at = _store(path)
+        self.file = store.open_input_file(at)
+        self.length, self.step, self.start, self.buf = self.file.size(), size, 0, b""
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, key):
+        if isinstance(key, slice):
+            a, b = key.start or 0, min(self.length, self.length if key.stop is None else key.stop)
+            if b - a > self.step:
+                return self.file.read_at(b - a, a)
+            return self._held(a, max(a, b))[a - self.start : b - self.start]
+        return self._held(key, key + 1)[key - self.start]
+
+    def _held(self, a: int, b: int) -> bytes:
+        if a < self.start or b > self.start + len(self.buf):
+            self.start, self.buf = a, self.file.read_at(min(max(self.step, b - a), self.length - a), a)
+        return self.buf
+
+
 @dataclass
 class Slice(InputPartition):
-    """Entries [first, last) of the category in bytes [a, b) of a file."""
+    """Runs of entries: (file, cat_ord, name, first ord, bytes from, to), each within one category."""
 
     path: str
-    file: str
-    cat_ord: int
-    a: int
-    b: int
-    first: int
-    last: int
+    runs: list
 
 
 class RouteDatReader(DataSourceReader):
+    """partitions() walks the framing of entries through a window of bounded size and cuts runs of about `split` bytes; small
+    categories share a task.  A task reads its own bytes only."""
+
     def __init__(self, path: str, kind: str, split: int, schema):
         self.path, self.kind, self.split, self.schema = path, kind, split, schema
 
     def partitions(self):
-        store, _ = _store(self.path)
-        scheme = self.path.split("://")[0] + "://" if "://" in self.path else ""
         out = []
-        for at in _files(self.path):
-            buf = load_bytes(scheme + at)
-            places = [(x, y) for f, w, x, y in fields(buf, 0, len(buf)) if f == 1 and w == BYTES]
-            for cat_ord, (a, b) in enumerate(places):
-                found = category_head(buf, a, b)[2] if b - a > self.split else None
-                step = max(1, len(found) * self.split // (b - a)) if found else 1 << 62
-                n = len(found) if found else 1 << 62
-                for i in range(0, n if found else 1, step):
-                    out.append(Slice(scheme + at, os.path.basename(at), cat_ord, a, b, i, min(n, i + step)))
-        return out or [Slice(self.path, "", 0, 0, 0, 0, 0)]
+        for path in _files(self.path):
+            buf, open_, size = Window(path), [], 0
+            cats = (f for f in fields(buf, 0, len(buf)) if f[0] == 1 and f[1] == BYTES)
+            for cat_ord, (_, _, a, b) in enumerate(cats):
+                name, cuts, n, start, last = "", [], 0, None, a
+                at = a
+                while at < b:
+                    field, wire, x, y = next(fields(buf, at, b))
+                    if field == 1 and wire == BYTES:
+                        name = text(buf, x, y)
+                    elif field == 2 and wire == BYTES:
+                        if start is None or y - start[1] > self.split:
+                            if start is not None:
+                                cuts.append((*start, at))
+                            start = (n, at)
+                        n, last = n + 1, y
+                    at = y
+                if start is not None:
+                    cuts.append((*start, last))
+                for first, p, q in cuts:
+                    if open_ and size + q - p > self.split:
+                        out.append(Slice(path, open_))
+                        open_, size = [], 0
+                    open_.append((cat_ord, name, first, p, q))
+                    size += q - p
+            if open_:
+                out.append(Slice(path, open_))
+        return out or [Slice(self.path, [])]
 
     def read(self, p: Slice):
-        if p.b == p.a:
-            return
-        store, at = _store(p.path)
-        with store.open_input_file(at) as f:
-            buf = f.read_at(p.b - p.a, p.a)
-        name, _, found = category_head(buf, 0, len(buf))
-        schema = to_arrow_schema(self.schema)
-        make = block if self.kind == "geoip" else rule
-        last = min(p.last, len(found))
-        for i in range(p.first, last, 20_000):
-            part = found[i : min(last, i + 20_000)]
-            columns = list(zip(*(make(buf, x, y) for x, y in part), strict=True))
-            rows = [[p.file] * len(part), [p.cat_ord] * len(part), [name] * len(part), list(range(i, i + len(part))), *map(list, columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
+        schema, make = to_arrow_schema(self.schema), block if self.kind == "geoip" else rule
+        file = p.path.rstrip("/").rpartition("/")[2]
+        store, at = _store(p.path) if p.runs else (None, "")
+        for cat_ord, name, first, a, b in p.runs:
+            with store.open_input_file(at) as f:
+                buf = f.read_at(b - a, a)
+            found = [(x, y) for field, wire, x, y in fields(buf, 0, len(buf)) if field == 2 and wire == BYTES]
+            for i in range(0, len(found), 20_000):
+                part = found[i : i + 20_000]
+                columns = list(zip(*(make(buf, x, y) for x, y in part), strict=True))
+                ords = list(range(first + i, first + i + len(part)))
+                rows = [[file] * len(part), [cat_ord] * len(part), [name] * len(part), ords, *map(list, columns)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema.types, strict=True)], schema=schema)
 
 
 @dataclass
@@ -277,13 +319,13 @@ class RouteDatWriter(DataSourceWriter):
     """Fragments lie beside the file until commit joins them; an aborted or repeated task leaves the file as it is."""
 
     def __init__(self, path: str, kind: str, reverse: set[int], names: dict[int, str]):
-        self.path, self.kind, self.reverse, self.names = path, kind, reverse, names
+        self.path, self.kind, self.reverse, self.names, self.run = path, kind, reverse, names, uuid.uuid4().hex[:12]
 
     def write(self, rows):
         from pyspark import TaskContext
 
         store, at = _store(self.path)
-        name = f"{at}.part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        name = f"{at}.part-{self.run}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         index, offset = [], 0
         with store.open_output_stream(name, buffer_size=1 << 20) as f:
             for r in rows:
@@ -322,9 +364,14 @@ class RouteDatWriter(DataSourceWriter):
         self._clean([m for m in messages if m is not None])
 
     def _clean(self, messages):
-        store, _ = _store(self.path)
-        for m in messages:
-            store.delete_file(m.path)
+        """Delete all fragments of this write, those of attempts that failed or were lost too."""
+        from pyarrow import fs
+
+        store, at = _store(self.path)
+        folder, _, name = at.rpartition("/")
+        for f in store.get_file_info(fs.FileSelector(folder or ".")):
+            if f.base_name.startswith(f"{name}.part-{self.run}-"):
+                store.delete_file(f.path)
 
 
 class RouteDat(DataSource):
@@ -337,7 +384,7 @@ class RouteDat(DataSource):
             return self.options["kind"]
         path = self.options["path"]
         first = _files(path)[0]
-        return kind_of(load_bytes(path.split("://")[0] + "://" + first if "://" in path else first), first)
+        return kind_of(Window(first), first)
 
     def schema(self):
         return GEOIP if self._kind() == "geoip" else GEOSITE
@@ -346,7 +393,7 @@ class RouteDat(DataSource):
         return RouteDatReader(self.options["path"], self._kind(), int(self.options.get("split", 1 << 22)), schema)
 
     def writer(self, schema, overwrite):
-        names = {int(k): v for k, v in (x.split("=", 1) for x in self.options.get("names", "").split("\n") if x)}
+        names = {int(k): v for k, v in json.loads(self.options.get("names", "{}")).items()}
         reverse = {int(x) for x in self.options.get("reverse", "").split(",") if x}
         return RouteDatWriter(self.options["path"], self.options["kind"], reverse, names)
 
@@ -359,22 +406,29 @@ def read_dat(spark: SparkSession, path: str, kind: str | None = None) -> DataFra
 
 
 def read_categories(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Categories of a file, empty ones too; only their heads are kept."""
-    buf = load_bytes(path)
+    """Categories of a file, empty ones too; the framing is walked through a window, and only the heads are kept."""
+    buf = Window(path)
     kind = kind or kind_of(buf, path)
     rows = []
     for f, w, a, b in fields(buf, 0, len(buf)):
         if f == 1 and w == BYTES:
-            name, reverse, _ = category_head(buf, a, b)
-            rows.append((os.path.basename(path), kind, len(rows), name, reverse))
+            name, reverse = "", False
+            for field, wire, x, y in fields(buf, a, b):
+                if field == 1 and wire == BYTES:
+                    name = text(buf, x, y)
+                elif field == 3 and wire == VARINT:
+                    reverse = x != 0
+            rows.append((path.rstrip("/").rpartition("/")[2], kind, len(rows), name, reverse))
     return spark.createDataFrame(rows, "file string, kind string, cat_ord int, name string, reverse boolean")
 
 
 def write_dat(df: DataFrame, categories: DataFrame, kind: str, path: str) -> None:
     """Write categories in order, with their entries in order.  Categories are few (a name each reaches the driver)."""
     df.sparkSession.dataSource.register(RouteDat)
+    store, at = _store(path)
+    store.create_dir(at.rpartition("/")[0] or ".", recursive=True)
     cats = categories.select("cat_ord", "name", "reverse").orderBy("cat_ord").collect()
-    names = "\n".join(f"{r['cat_ord']}={r['name']}" for r in cats)
+    names = json.dumps({r["cat_ord"]: r["name"] for r in cats})
     reverse = ",".join(str(r["cat_ord"]) for r in cats if r["reverse"])
     rows = df.repartitionByRange("cat_ord", "ord").sortWithinPartitions("cat_ord", "ord")
     out = rows.write.format("routedat").option("kind", kind).option("names", names).option("reverse", reverse)
