@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +61,8 @@ UNION ALL SELECT {keys}, m + ((r >> (i + 1)) << (i + 1)), CAST(32 - i AS INTEGER
   FROM {source}, (SELECT unnest(range(0, 33)) AS i) WHERE (r >> i) & 1 = 1"""
 
 
+SUMMARY_SQL = """SELECT cat, CAST(sum(CASE WHEN label = 'onlyA' THEN n ELSE 0 END) AS BIGINT) AS only_a, CAST(sum(CASE WHEN label = 'onlyB' THEN n ELSE 0 END) AS BIGINT) AS only_b,
+  CAST(sum(CASE WHEN label = 'common' THEN n ELSE 0 END) AS BIGINT) AS common FROM n GROUP BY cat"""
 MERGED = f"{IP4}, {_islands('r4', 'cat', 'merged')}"
 SWEPT = f"{IP4}, {_sweep('r4', 'cat', 'swept')}"
 DOTTED = "CAST(({0} >> 24) & 255 AS VARCHAR) || '.' || CAST(({0} >> 16) & 255 AS VARCHAR) || '.' || CAST(({0} >> 8) & 255 AS VARCHAR) || '.' || CAST({0} & 255 AS VARCHAR)"
@@ -104,33 +105,24 @@ def coverage_diff_segments(spark, d):
 
 
 @query(f"""WITH {SWEPT}, {_split('swept', 'cat, label', 'cut')}, n AS (SELECT cat, label, bit_count(l) + bit_count(r) AS n FROM cut)
-SELECT cat, CAST(sum(CASE WHEN label = 'onlyA' THEN n ELSE 0 END) AS BIGINT) AS only_a, CAST(sum(CASE WHEN label = 'onlyB' THEN n ELSE 0 END) AS BIGINT) AS only_b,
-  CAST(sum(CASE WHEN label = 'common' THEN n ELSE 0 END) AS BIGINT) AS common FROM n GROUP BY cat""")
+{SUMMARY_SQL}""")
 def coverage_summary(spark, d):
     a, b = _sides(views.ip4(spark, d))
     return diff.coverage_summary(a, b, ["cat"]).withColumnsRenamed({"onlyA": "only_a", "onlyB": "only_b"})
 
 
-@query(f"""WITH {IP4}, side_b AS (SELECT 1 AS one, lo, hi FROM r4 WHERE side = 1 AND cat = 'click'), {_islands('side_b', 'one', 'merged')},
+@query(f"""WITH {IP4}, side_b AS (SELECT 1 AS one, lo, hi FROM r4 WHERE side = 1), {_islands('side_b', 'one', 'merged')},
 {_split('merged', 'one', 'cut')} SELECT num, pfx FROM ({_blocks('cut', 'one')})""")
 def apply_make_match(spark, d):
-    """Coverage mode: what a category holds after it was made to match the other file's."""
-    a, b = _sides(views.ip4(spark, d).filter("cat = 'click'"))
-    got = diff.apply_diff(a, b, "geoip", "both", "coverage", "a", 0, "click")
+    """Coverage mode: what a category, here of all rows, holds after it was made to match the other file's."""
+    a, b = _sides(views.ip4(spark, d))
+    got = diff.apply_diff(a, b, "geoip", "both", "coverage", "a", 0, "ALL")
     return got.select(cidr.v4_num(F.col("ip")).alias("num"), F.col("pfx").cast("int").alias("pfx"))
 
 
-@query(f"""WITH {IP4}, w AS (SELECT num, pfx, lo, hi FROM r4 WHERE pfx <= 27)
-SELECT q.ord, w.num AS outer_num, w.pfx AS outer_pfx FROM r4 q JOIN w ON w.pfx <= q.pfx AND w.lo <= q.lo AND w.hi >= q.hi WHERE q.pfx = 32""")
-def containment_join(spark, d):
-    rows = views.ip4(spark, d).select("ord", cidr.v4_num(F.col("ip")).alias("num"), F.col("pfx").cast("int").alias("pfx"))
-    got = ranges.covering(rows.filter("pfx = 32"), rows.filter("pfx <= 27").select("num", "pfx"))
-    return got.select("ord", F.col("block.num").alias("outer_num"), F.col("block.pfx").alias("outer_pfx"))
-
-
 @query(f"""WITH {IP4} SELECT q.ord, w.num AS outer_num, w.pfx AS outer_pfx FROM r4 q JOIN r4 w ON w.pfx <= q.pfx AND w.lo <= q.lo AND w.hi >= q.hi""")
 def containment_join_all(spark, d):
-    """All rows against all blocks, where containment_join takes /32 rows and blocks up to /27."""
+    """All rows against all blocks: every block of the view that contains a row's block."""
     rows = views.ip4(spark, d).select("ord", cidr.v4_num(F.col("ip")).alias("num"), F.col("pfx").cast("int").alias("pfx"))
     got = ranges.covering(rows, rows.select("num", "pfx"))
     return got.select("ord", F.col("block.num").alias("outer_num"), F.col("block.pfx").alias("outer_pfx"))
@@ -309,25 +301,18 @@ for _name, _run, _sql in (
     ("filter_octets", _ip_filter("10.0.1"), f"WITH {IP4} SELECT cat, ord FROM ip4 WHERE starts_with({DOTTED.format('num')}, '10.0.1')"),
     ("filter_octets_whole", _ip_filter("10.0.12."), f"WITH {IP4} SELECT cat, ord FROM ip4 WHERE (num >> 8) & 255 = 12"),
     ("filter_ip_regex", _ip_filter(r"/\.7\d\/2[67]$/"), f"WITH {IP4} SELECT cat, ord FROM ip4 WHERE regexp_matches({NET}, '\\.7[0-9]/2[67]$')"),
-    ("filter_ip_family", _ip_filter("", fam=4), f"WITH {IP4} SELECT cat, ord FROM ip4"),
-    ("filter_invalid", _ip_filter("", fam=filters.INVALID), f"WITH {IP4} SELECT cat, ord FROM ip4 WHERE pfx > 32"),
     ("filter_substring", _site_filter("EX"), f"WITH {SITE} SELECT cat, ord FROM site WHERE contains(lower(val), 'ex')"),
-    ("filter_regex", _site_filter("/^[A-M].*[0-9]/"), f"WITH {SITE} SELECT cat, ord FROM site WHERE regexp_matches(lower(val), '^[a-m].*[0-9]')"),
+    ("filter_regex", _site_filter(r"/^M?\.?(?<x>TH).*\.(?:com|ORG)$/"), f"WITH {SITE} SELECT cat, ord FROM site WHERE regexp_matches(lower(val), '^m?[.]?th.*[.](com|org)$')"),
     ("filter_type", _site_filter("", type_=3), f"WITH {SITE} SELECT cat, ord FROM site WHERE type = 3"),
     ("filter_attr", _site_filter("", type_=filters.WITH_ATTRS), f"WITH {SITE} SELECT cat, ord FROM site WHERE has_attr"),
 ):
     QUERIES[_name], SQL[_name] = _run, _sql
 
 
-@query(f"WITH {IP6.replace('x - x %', 'x, x - x %', 1)} SELECT cat, ord FROM r6 WHERE u > 0 AND contains('2001:db8:0:' || printf('%x', u) || '::' || printf('%x', x), 'a1')")
-def filter_v6(spark, d):
-    return filters.apply(views.ip6(spark, d).filter("user_id > 0" if "user_id" in [] else "substring(ip, 5, 4) <> x'00000000'"), "a1", "geoip").select("cat", "ord")
-
-
 @query(f"""WITH {IP6.replace('x - x %', 'x, x - x %', 1)} SELECT cat, ord FROM r6
 WHERE contains(CASE WHEN u = 0 THEN '2001:db8::' ELSE '2001:db8:0:' || printf('%x', u) || '::' END || CASE WHEN x = 0 THEN '' ELSE printf('%x', x) END, 'a1')""")
 def filter_v6_all(spark, d):
-    """The whole view, where filter_v6 leaves out rows whose zero run begins earlier (u = 0)."""
+    """Part of an IPv6 address as printed, zero runs and all."""
     return filters.apply(views.ip6(spark, d), "a1", "geoip").select("cat", "ord")
 
 
@@ -362,7 +347,7 @@ _sort_query("host", "array_to_string(list_reverse(string_split(val, '.')), '.'),
 
 @query(f"WITH {SITE}, n AS (SELECT cat, type, val, CAST(row_number() OVER (ORDER BY cat_ord, ord) - 1 AS BIGINT) AS row FROM site) SELECT * FROM n WHERE row >= 20 AND row < 60")
 def page_rows(spark, d):
-    return entries.page(views.site(spark, d), 20, 40).select("cat", "type", "val", "row")
+    return entries.page(entries.renumbered(views.site(spark, d)), 20, 40).select("cat", "type", "val", "row")
 
 
 # statistics
@@ -489,10 +474,11 @@ def ip_to_text(spark, d):
 
 @query(f"WITH {SITE} SELECT cat, type, val, has_attr, CAST(row_number() OVER (PARTITION BY cat ORDER BY ord) - 1 AS BIGINT) AS ord FROM site")
 def dat_roundtrip(spark, d):
-    """Entries after a file was written and read back.  The file lies in the shared folder where there is one."""
+    """Entries after a file was written and read back.  The file lies in the shared folder."""
+    from prefixloom.catalog_more import scratch
+
     db = _database(spark, d)
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    path = f"{base.rstrip('/')}/roundtrip-{abs(hash((d, id(db))))}.dat"
+    path = f"{scratch(spark)}.dat"
     db.export_dat(path)
     return routedat.read_dat(spark, path, "geosite").select("cat", "type", "val", F.col("attrs").isNotNull().alias("has_attr"), "ord")
 
@@ -501,3 +487,6 @@ def dat_roundtrip(spark, d):
 def undo_redo(spark, d):
     db = _database(spark, d).sort("C0", "host").clear("C1").undo().delete_categories(["C2"]).undo().redo().undo()
     return db.entries.groupBy("cat").agg(F.count(F.lit(1)).alias("n"))
+
+
+from prefixloom import catalog_more  # noqa: E402, F401  its queries join the catalog

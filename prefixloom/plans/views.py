@@ -60,3 +60,30 @@ SITE = """site AS (SELECT CAST(page_id % 3 AS INTEGER) AS cat_ord, 'C' || CAST(p
 def categories(df: DataFrame, kind: str) -> DataFrame:
     """Categories of a view: reverse for those with an odd number."""
     return df.select("file", F.lit(kind).alias("kind"), "cat_ord", F.col("cat").alias("name"), (F.col("cat_ord") % 2 == 1).alias("reverse")).distinct()
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of every sort from events: IPv4 over the whole address space, IPv6, addresses of odd length (fam 0), bad prefixes."""
+    e, u = F.col("event_id"), F.col("user_id")
+    odd, six, bad = e % 13 == 0, e % 5 == 0, e % 11 == 0
+    four = cidr.v4_bytes(F.pmod(u * 28657 + e * 429497, F.lit(1 << 32)))
+    part = lambda c: F.lpad(F.hex(c % 65535 + 1), 4, "0")
+    long = F.unhex(F.concat(F.lit("20010DB8"), part(u * 7919), F.lpad(F.hex(u % 9 + 1), 4, "0"), F.lit("0" * 12), part(e * 131)))
+    pfx = F.when(odd, e % 9).when(bad, 200).when(six, 20 + e % 109).otherwise(14 + e % 19)
+    return table(spark, sf_dir, "events").select(
+        F.lit("a").alias("file"), F.pmod(F.crc32(F.col("event_type").cast("binary")), F.lit(1000)).cast("int").alias("cat_ord"), F.col("event_type").alias("cat"), e.alias("ord"),
+        F.when(odd, 0).when(six, 6).otherwise(4).cast("byte").alias("fam"), pfx.cast("short").alias("pfx"),
+        F.when(odd, F.unhex(F.lpad(F.hex(e % 1000), 6, "0"))).when(six, long).otherwise(four).alias("ip"), (e % 2).cast("int").alias("side"),
+    )
+
+
+MIXED = """mixed0 AS (SELECT event_type AS cat, event_id AS ord, CAST(event_id % 2 AS INTEGER) AS side,
+  CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 5 = 0 THEN 6 ELSE 4 END AS fam,
+  CAST(CASE WHEN event_id % 13 = 0 THEN event_id % 9 WHEN event_id % 11 = 0 THEN 200 WHEN event_id % 5 = 0 THEN 20 + event_id % 109 ELSE 14 + event_id % 19 END AS INTEGER) AS pfx,
+  user_id * 7919 % 65535 + 1 AS g3, user_id % 9 + 1 AS g4, event_id * 131 % 65535 + 1 AS g8, event_id % 1000 AS odd, (user_id * 28657 + event_id * 429497) % 4294967296 AS num FROM events),
+mixed AS (SELECT *, (fam = 4 AND pfx <= 32) OR (fam = 6 AND pfx <= 128) AS valid, CASE fam WHEN 4 THEN 32 WHEN 6 THEN 128 ELSE 0 END AS bits,
+  CASE fam WHEN 0 THEN odd::HUGEINT WHEN 4 THEN num::HUGEINT ELSE (536939960::HUGEINT << 96) + (g3::HUGEINT << 80) + (g4::HUGEINT << 64) + g8 END AS x,
+  CASE fam WHEN 0 THEN printf('%06X', odd) WHEN 4 THEN printf('%08X', num) ELSE '20010DB8' || printf('%04X', g3) || printf('%04X', g4) || '000000000000' || printf('%04X', g8) END AS ip FROM mixed0),
+sized AS (SELECT *, CASE WHEN valid THEN 1::HUGEINT << (bits - pfx) ELSE 1::HUGEINT END AS size FROM mixed),
+rm AS (SELECT cat, ord, side, fam, bits, pfx, x - x % size AS lo, x - x % size + size AS hi FROM sized WHERE valid),
+km AS (SELECT cat, ord, side, fam, pfx, ip, valid, x, x - x % size AS net FROM sized)"""

@@ -40,7 +40,7 @@ def test_byte_identity(spark, tmp_path, kind, raw, split):
     spark.dataSource.register(routedat.RouteDat)
     rows = spark.read.format("routedat").option("kind", kind).option("split", split).load(str(src))
     cats = routedat.read_categories(spark, str(src), kind)
-    assert rows.rdd.getNumPartitions() > (10 if split == 200 else 2)
+    assert rows.rdd.getNumPartitions() > 10 if split == 200 else rows.rdd.getNumPartitions() == 1  # small categories share a task
     routedat.write_dat(rows.repartition(5), cats, kind, f"file://{out}")
     assert out.read_bytes() == raw and sorted(p.name for p in tmp_path.iterdir()) == ["a.dat", "b.dat"]
 
@@ -210,13 +210,13 @@ def test_includes(spark):
     db.new_category("SRC", rows)
     got, errors, included = parse_text(spark, "full:first\ninclude:src @ads @-cn\nlast\ninclude:\ninclude:none\ninclude:SRC", "geosite", db)
     assert [r["val"] for r in got.orderBy("ord").collect()] == ["first", "a", "last", "a", "b", "c", "d"]
-    assert [(r["line"], r["msg"]) for r in errors.orderBy("line").collect()] == [(4, "include: names no category"), (5, 'no category "none" to include')]
+    assert [(r["line"], r["msg"]) for r in errors.orderBy("line").collect()] == [(4, "include: without a name"), (5, "include of an unknown category: none")]
     assert sorted((r["line"], r["name"], r["n"]) for r in included.collect()) == [(2, "SRC", 1), (6, "SRC", 4)]
     _, errors, _ = parse_text(spark, "include:SRC", "geosite", db, own="src")
-    assert errors.first()["msg"] == "a category cannot include itself"
+    assert errors.first()["msg"] == "include of the category that is being read"
     rev = ip_db(spark, "r", A)
     _, errors, _ = parse_text(spark, "include:two", "geoip", rev)
-    assert "reverse-match" in errors.first()["msg"]
+    assert errors.first()["msg"] == "include of a reverse category: TWO"
 
 
 def test_batch_import(spark):
