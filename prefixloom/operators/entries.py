@@ -86,7 +86,7 @@ def concat(tables: list[DataFrame], file: str, cat_ord: int, cat: str) -> DataFr
     tagged = [t.withColumn("__t", F.lit(i)) for i, t in enumerate(tables)]
     rows = reduce(DataFrame.unionByName, tagged)
     rows = rows.withColumns({"file": F.lit(file), "__c": F.col("cat_ord"), "cat_ord": F.lit(cat_ord), "cat": F.lit(cat)})
-    return renumbered(rows, "__t", "__c", "ord", coarse=[F.struct("__t", "__c"), ord_cell()]).drop("__t", "__c")
+    return renumbered(rows, "__t", "__c", "ord", coarse=[F.struct("__t", "__c", ord_cell().alias("o"))]).drop("__t", "__c")
 
 
 def reverse_clash(categories: DataFrame, counts: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def optimize(df: DataFrame, kind: str, fold_rules: bool = True, keyword: bool =
         bad = df.filter(~cidr.is_valid(F.col("fam"), F.col("pfx"))).select(*entries.SLOT, F.lit(1).alias("__g"), "ord", "fam", "pfx", "ip")
         both = least.unionByName(bad)
         place = [F.col("__g"), F.col("ord"), F.when(F.col("__g") == 0, F.col("fam")), F.when(F.col("__g") == 0, F.col("ip"))]
-        cells = [F.col("__g"), entries.ord_cell(), F.when(F.col("__g") == 0, entries.ip_cell())]
+        cells = [F.struct(F.col("__g").alias("g"), entries.ord_cell().alias("o"), F.when(F.col("__g") == 0, entries.ip_cell()).alias("i"))]
         return entries.renumbered(both, *place, coarse=cells).select(*entries.SLOT, "ord", "fam", "pfx", "ip")
     out = entries.dedupe(df, kind)
     if fold_rules:

@@ -151,7 +151,7 @@ def expand_includes(parsed: DataFrame, entries_df: DataFrame, categories: DataFr
     includes = good.select(*keys, "line", "name").join(n, [*keys, "line"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     plain = parsed.filter("include is null and error is null").select(*keys, "line", F.lit(0).cast("long").alias("__src"), *own_cols)
     woven = plain.unionByName(rows.select(*keys, "line", "__src", *own_cols))
-    cells = [F.shiftright("line", 12), F.col("line"), entries.ord_cell("__src")]
+    cells = [F.shiftright("line", 12), F.struct("line", entries.ord_cell("__src").alias("s"))]
     woven = entries.renumbered(woven, "line", "__src", keys=keys, coarse=cells)
     faults = errors(parsed, [*keys, "line"]).unionByName(asked.filter("msg is not null").select(*keys, "line", "text", "msg"))
     return woven.drop("line", "__src"), faults, includes
