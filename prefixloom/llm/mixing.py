@@ -145,11 +145,14 @@ def _uses(
     position = seeded("__id", "__th", "mix_pass")
     inside = Window.partitionBy("s", "mix_block").orderBy(position, "__id", "__th").rowsBetween(Window.unboundedPreceding, 0)
     cut = narrow.join(schedule.filter("left is not null"), ["s", "mix_block"]).withColumn("run", F.sum("n").over(inside))
-    fits = written(cut.filter("run <= left").select("s", F.col("__id").alias("__fid"), F.col("__th").alias("__fth")), "mix-cut")
+    # running sums only grow, so what fits is all up to one document: a row a source, however many documents, and no text is shuffled
+    place = F.struct(position.alias("p"), F.col("__id").alias("i"), F.col("__th").alias("t"))
+    ends = cut.filter("run <= left").groupBy("s", "mix_block", "mix_pass").agg(F.max(place).alias("__end"))
+    ends = written(ends, "mix-ends")
+    # blocks times passes, and blocks hold block_tokens each; Spark broadcasts them as long as they are small
     uses = dealt.join(schedule, ["s", "mix_block"]).withColumn("mix_position", position)
     whole = uses.filter("left is null")
-    same = uses["__id"].eqNullSafe(fits["__fid"]) & (uses["__th"] == fits["__fth"]) & (uses["s"] == fits["s"])
-    part = uses.filter("left is not null").join(fits, same, "left_semi")
+    part = uses.filter("left is not null").join(F.broadcast(ends), ["s", "mix_block", "mix_pass"]).filter(place <= F.col("__end")).drop("__end")
     return whole.unionByName(part).select("__row", *USE_COLUMNS)
 
 
