@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,8 @@ MARK = "▁"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_WORD = 32
 MOST_WORDS = 300_000
+#: Of a task's words, the first so many are kept for the next task of the worker: the frequent ones come early.
+KEPT_WORDS = 60_000
 
 
 def held_out(id_col: str = "doc_id"):
@@ -149,6 +152,12 @@ class LanguageModel:
         self.scores = np.vstack([self.scores, rows])
         self.known.update((w, start + i) for i, w in enumerate(words))
 
+    def trim(self) -> None:
+        """Forget all words but the first KEPT_WORDS, so that an idle worker holds little."""
+        if len(self.known) > KEPT_WORDS:
+            self.known = dict(islice(self.known.items(), KEPT_WORDS))
+            self.scores = self.scores[:KEPT_WORDS].copy()
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
         for i in range(0, len(texts), 256):
@@ -226,6 +235,7 @@ def predict_languages(df: DataFrame, model: LanguageModel, text_col: str = "text
             names, scores = own.predict(batch.column(text_col).to_pylist())
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, pred_col, score_col])
+        own.trim()
 
     kept = df.drop(*(c for c in df.columns if c.lower() in (pred_col.lower(), score_col.lower()) and c != text_col))
     schema = StructType(list(kept.schema.fields)).add(pred_col, StringType()).add(score_col, DoubleType())
