@@ -68,13 +68,13 @@ def is_valid(fam: Column, pfx: Column) -> Column:
 
 def parse_v4(text: Column) -> Column:
     """IPv4 address or block as struct(num, pfx), null if it is none; leading zeros are allowed."""
-    shape = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?:/(\d{1,3}))?$"
-    part = [F.regexp_extract(text, shape, i) for i in range(1, 6)]
-    octets = [F.coalesce(p.try_cast("int"), F.lit(-1)) for p in part[:4]]
-    pfx = F.when(part[4] == "", F.lit(32)).otherwise(F.coalesce(part[4].try_cast("int"), F.lit(32)))
+    shape = r"^\d{1,3}(?:\.\d{1,3}){3}(?:/\d{1,3})?$"
+    part = F.split(F.when(text.rlike(shape), text), "[./]")
+    octets = [F.get(part, F.lit(i)).try_cast("int") for i in range(4)]
+    pfx = F.coalesce(F.get(part, F.lit(4)).try_cast("int"), F.lit(32))
     num = sum((o.cast("long") * (1 << s) for o, s in zip(octets, (24, 16, 8, 0), strict=True)), F.lit(0).cast("long"))
-    fits = F.greatest(*octets) <= 255
-    return F.when(text.rlike(shape) & fits & (pfx <= 32), F.struct(num.alias("num"), pfx.alias("pfx")))
+    fits = F.greatest(*octets) <= 255  # null where the shape isn't a block's
+    return F.when(fits & (pfx <= 32), F.struct(num.alias("num"), pfx.alias("pfx")))
 
 
 def octet_prefix(num: Column, query: str) -> Column:
