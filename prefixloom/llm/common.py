@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -68,6 +69,17 @@ def released(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
+def idle_memory() -> None:
+    """Give a Python worker's freed memory back to the system: a reused worker otherwise holds on to what earlier stages needed."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_or_empty(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c.cast("string"), F.lit(""))

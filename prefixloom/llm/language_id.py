@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from .common import idle_memory
+
 MARK = "▁"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_WORD = 32
@@ -236,6 +238,7 @@ def predict_languages(df: DataFrame, model: LanguageModel, text_col: str = "text
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, pred_col, score_col])
         own.trim()
+        idle_memory()
 
     kept = df.drop(*(c for c in df.columns if c.lower() in (pred_col.lower(), score_col.lower()) and c != text_col))
     schema = StructType(list(kept.schema.fields)).add(pred_col, StringType()).add(score_col, DoubleType())
