@@ -7,7 +7,8 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,18 @@ def released(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within it, steps that run send so many rows to Python at once: whole texts by the ten thousand are tens of megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def idle_memory() -> None:
     """Give a Python worker's freed memory back to the system: a reused worker otherwise holds on to what earlier stages needed."""
     import pyarrow as pa
