@@ -125,8 +125,11 @@ def aggregate(entries: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def covering(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Containment join of IPv4 blocks (num, pfx): every block that contains a query's, by equality on its at most 33 ancestors."""
-    up = queries.withColumn("__p", F.explode(F.sequence(F.lit(0), F.col("pfx").cast("int"))))
+    """Containment join of IPv4 blocks (num, pfx): every block that contains a query's, by equality on its ancestors at the prefixes
+    that blocks have, 33 at most.  Those are the only rows broadcast: what a join of ancestors needs in memory can't be told from
+    the size of the files, so it is always sorted, and large keys are split by adaptive execution."""
+    lengths = blocks.select(F.col("pfx").cast("int").alias("__p")).filter("__p >= 0").distinct()
+    up = queries.join(F.broadcast(lengths), F.col("__p") <= F.col("pfx"))
     up = up.withColumn("__lo", cidr.v4_lo(F.col("num"), F.col("__p")))
     right = blocks.select(cidr.v4_lo(F.col("num"), F.col("pfx")).alias("__lo"), F.col("pfx").cast("int").alias("__p"), F.struct(*blocks.columns).alias("block"))
-    return up.join(right, ["__p", "__lo"]).drop("__p", "__lo")
+    return up.join(right.hint("merge"), ["__p", "__lo"]).drop("__p", "__lo")

@@ -3,6 +3,7 @@
 import ipaddress
 
 from prefixloom import catalog
+from prefixloom.operators import ranges
 
 
 def events(spark, tmp_path):
@@ -28,3 +29,16 @@ def test_filter_v6_all(spark, tmp_path):
     got = sorted((r["cat"], r["ord"]) for r in catalog.QUERIES["filter_v6_all"](spark, str(tmp_path)).collect())
     assert got == want
     assert {u == 0 for t, i, u, x in rows if (t, i) in set(want)} == {True, False}
+
+
+def test_containment_join_broadcasts_prefixes_alone(spark, tmp_path):
+    """However small the files look, ancestors are joined by sorting; the rows of a block of all addresses too."""
+    events(spark, tmp_path)
+    query = catalog.QUERIES["containment_join_all"](spark, str(tmp_path))
+    plan = query._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "ShuffledHashJoin" not in plan
+    rows = spark.createDataFrame([(i, i * 65537 % 2**32, 16 + i % 17) for i in range(3000)], "ord long, num long, pfx int")
+    blocks = spark.createDataFrame([(0, 0), (0, 0), (65537 * 8, 24)], "num long, pfx int")
+    got = ranges.covering(rows, blocks).groupBy("block.pfx").count().collect()
+    inside = sum(1 for i in range(3000) if 16 + i % 17 >= 24 and i * 65537 % 2**32 >> 8 == 65537 * 8 >> 8)
+    assert dict(map(tuple, got)) == {0: 6000, 24: inside} and inside
