@@ -143,12 +143,30 @@ def sniff(buf: bytes) -> str | None:
     return None
 
 
+def sniff_entries(buf: bytes) -> str | None:
+    """Kind by the first entry of any category whose fields are all of one kind's: addresses (of any length) and prefixes, or types,
+    values and attributes."""
+    sorts = {(1, BYTES): "geoip", (2, VARINT): "geoip", (1, VARINT): "geosite", (2, BYTES): "geosite", (3, BYTES): "geosite"}
+    try:
+        for field, wire, a, b in fields(buf, 0, len(buf)):
+            if (field, wire) != (1, BYTES):
+                continue
+            for f2, w2, x, y in fields(buf, a, b):
+                if (f2, w2) == (2, BYTES):
+                    found = {sorts.get(f[:2]) for f in fields(buf, x, y)}
+                    if len(found) == 1 and None not in found:
+                        return found.pop()
+    except ValueError:
+        return None
+    return None
+
+
 def kind_of(buf: bytes, name: str = "") -> str:
-    """By content, else by name."""
+    """By the first entry, else by name, else by the entries behind it: the first one may have an address of odd length."""
     found = sniff(buf)
     low = os.path.basename(name).lower()
     if found is None:
-        found = "geosite" if "site" in low else "geoip" if "ip" in low else None
+        found = "geosite" if "site" in low else "geoip" if "ip" in low else sniff_entries(buf)
     if found is None:
         raise ValueError(f"neither a block nor a rule file: {name}")
     return found

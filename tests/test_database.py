@@ -56,6 +56,18 @@ def test_decoder_limits():
         routedat.kind_of(b"", "nothing.dat")
 
 
+def test_kind_behind_an_odd_first_entry():
+    odd, four = routedat.block_bytes(0, 8, bytes(3)), routedat.block_bytes(4, 24, bytes(4))
+    rule = routedat.rule_bytes(2, "a.b", None)
+    file = lambda *e: routedat.category_bytes("A", b"".join(e), False)
+    assert routedat.sniff(file(odd, four)) is None
+    assert routedat.kind_of(file(odd, four), "x.dat") == routedat.kind_of(file(odd), "x.dat") == "geoip"
+    assert routedat.kind_of(file(b"\x12\x00", rule), "x.dat") == routedat.kind_of(file() + file(rule), "x.dat") == "geosite"
+    assert routedat.kind_of(file(odd, four), "my-geosite.dat") == "geosite"  # a name counts before later entries
+    with pytest.raises(ValueError):
+        routedat.kind_of(file(b"\x12\x00"), "x.dat")
+
+
 def rules(spark, rows, cat="C", at=0):
     full = [("f", at, cat, i, t, v, a) for i, (t, v, a) in enumerate(rows)]
     return spark.createDataFrame(full, f"file string, cat_ord int, cat string, ord long, type short, val string, attrs {ATTRS}")

@@ -4,6 +4,7 @@ import ipaddress
 
 from prefixloom import catalog
 from prefixloom.operators import ranges
+from prefixloom.plans import views
 
 
 def events(spark, tmp_path):
@@ -42,3 +43,13 @@ def test_containment_join_broadcasts_prefixes_alone(spark, tmp_path):
     got = ranges.covering(rows, blocks).groupBy("block.pfx").count().collect()
     inside = sum(1 for i in range(3000) if 16 + i % 17 >= 24 and i * 65537 % 2**32 >> 8 == 65537 * 8 >> 8)
     assert dict(map(tuple, got)) == {0: 6000, 24: inside} and inside
+
+
+def test_ip_dat_roundtrip_begins_with_an_odd_address(spark, tmp_path):
+    """The lowest category's first entry has an address of three bytes, which tells no kind; those behind it do."""
+    rows = [(13 * (1 + i // 5) if i % 5 == 0 else 1000 + i, "signup", i % 40) for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["ip_dat_roundtrip"](spark, str(tmp_path)).orderBy("ord").collect()
+    want = views.mixed(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r["ord"], r["fam"], r["pfx"], r["ip"]) for r in got] == [(i, r["fam"], r["pfx"], bytes(r["ip"]).hex().upper()) for i, r in enumerate(want)]
+    assert got[0]["fam"] == 0 and len(got) == 200
