@@ -17,7 +17,9 @@ about (1 - t**4)**signatures: 3e-11 at similarity 0.75 exactly and 64 signatures
 the join is exact.  Every candidate is checked with its whole sets.
 
 Frequent shingles.  A passage in very many documents would bring them together under every signature that it fills by
-itself.  Shingles found in `frequent` documents or more of a bounded sample (the `most_frequent` commonest of them, 2 MB) are therefore
+itself.  Shingles are dealt by hash to 2**21 cells, and all documents are counted that hold a shingle of a cell, so that a cell's count is
+never less than a shingle's.  Shingles of cells with `frequent` documents or more of every `per` (and with four times the mean, where long
+texts fill all cells) are
 left out of signatures: two sets that agree on a partition agree on it without them too.  Sets that hold many of them (two fifths) are signed with them as
 well, so copies of a frequent text still meet.  Partitions that hold frequent shingles alone give no signature then, so sets just
 under two fifths miss each other more often: simulated with this signer at similarity 0.75 (a set within another, in neighbouring
@@ -51,13 +53,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, attach, components, dropped, idle_memory, key_bitmap, maybe_flag, maybe_in, released, small_batches, text_or_empty, written
+from .common import attach, components, dropped, idle_memory, key_bitmap, maybe_flag, maybe_in, released, small_batches, text_or_empty, written
 
 MANY_FREQUENT = 0.4
 #: Sets that a task remembers, so as not to give the same one twice; later ones are told apart after the shuffle.
 REMEMBERED = 100_000
 U64 = np.uint64
 SIG_BITS = 26
+#: Cells that shingles are counted by, and how many a row of counts has: 16 KB.
+CELLS, CELL_PAGE = 1 << 21, 1 << 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,7 +74,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     def __init__(self, words: int):
         self.words = words
-        self.known = Memo(xxhash.xxh3_64_intdigest, most=100_000)
         self.factors = mix(np.arange(1, words + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
     def shingles(self, text: str | None) -> np.ndarray:
@@ -78,7 +81,7 @@ class Shingler:
         found = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not found:
             return np.zeros(0, dtype=U64)
-        w = np.fromiter(map(self.known.__getitem__, found), dtype=U64, count=len(found))
+        w = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=U64, count=len(found))
         n = len(w) - self.words + 1
         if n < 1:
             return mix(np.atleast_1d((w * self.factors[: len(w)]).sum(dtype=U64) + U64(len(w))))
@@ -101,10 +104,10 @@ class PartEnum:
         return int(np.searchsorted(self.tops, size))
 
     def sign(self, s: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
-        """Signatures of a set; sets that can only link with equal ones need none.  frequent: sorted hashes to leave out."""
-        if frequent is None or not len(frequent):
+        """Signatures of a set; sets that can only link with equal ones need none.  frequent: which cells' shingles to leave out."""
+        if frequent is None:
             return self._sign(s, len(s))
-        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        often = frequent[cells_of(s)]
         share = np.count_nonzero(often) / max(1, len(s))
         rare = self._sign(s[~often], len(s)) if share else self._sign(s, len(s))
         return np.concatenate([rare, ~self._sign(s, len(s))]) if share >= MANY_FREQUENT else rare
@@ -151,30 +154,51 @@ def _as_long(x: np.ndarray) -> np.ndarray:
     return x.astype(U64).view(np.int64)
 
 
-def frequent_shingles(docs: DataFrame, words: int, sample: int, frequent: int, most: int) -> np.ndarray:
-    """Sorted shingle hashes that at least `frequent` of about `sample` documents (by hash of the text and id) hold, the `most`
-    commonest at most."""
-    total = docs.count()
-    if not total:
-        return np.zeros(0, dtype=U64)
-    share = F.pmod(F.xxhash64("doc_id", "th", F.lit(8)), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))
+def cells_of(s: np.ndarray) -> np.ndarray:
+    return s & U64(CELLS - 1)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = shingler(words)
+
+def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """Of every cell, how many of all documents hold a shingle of it; 8 MB, whatever the data."""
+
+    def pages(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for page, part in enumerate(counts.reshape(-1, CELL_PAGE)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["page", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh, counts = shingler(words), np.zeros(CELLS, dtype="<u4")
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_as_long(sh.shingles(text)))], names=["h"])
+                counts[cells_of(sh.shingles(text))] += 1
+        yield from pages(counts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((CELLS // CELL_PAGE, CELL_PAGE), dtype="<u4")
+        for batch in batches:
+            for page, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[page] += np.frombuffer(part.as_buffer(), dtype="<u4")
+        yield from pages(sums)
+
+    with small_batches(docs.sparkSession):
+        found = docs.select("text").mapInArrow(count, "page int, counts binary").repartition("page").mapInArrow(add, "page int, counts binary").collect()
+    out = np.zeros((CELLS // CELL_PAGE, CELL_PAGE), dtype=np.int64)
+    for r in found:
+        out[r["page"]] = np.frombuffer(r["counts"], dtype="<u4")
+    return out.reshape(-1)
+
 
-    counts = docs.filter(share).select("text").mapInArrow(make, "h long").groupBy("h").count().filter(F.col("count") >= frequent)
-    counts = counts.orderBy(F.desc("count"), "h").limit(most)
-    return np.sort(counts.select("h").toPandas()["h"].to_numpy(dtype=np.int64).view(U64))
+def frequent_cells(docs: DataFrame, words: int, frequent: int, per: int) -> np.ndarray:
+    """Which cells have at least `frequent` documents, and as many of every `per`; no fewer than four times the mean."""
+    counts = shingle_counts(docs, words)
+    return counts >= max(1.0, frequent * max(1.0, docs.count() / per), 4 * counts.mean())
 
 
-def signed_sets(docs: DataFrame, words: int, percent: int, signatures: int | None, n2: int, k2: int, often: np.ndarray) -> DataFrame:
+def signed_sets(docs: DataFrame, words: int, percent: int, signatures: int | None, n2: int, k2: int, often: np.ndarray | None) -> DataFrame:
     """Per document: doc_id, th (hash of the text), n, node (hash of the set), sigs.
 
     A set that the task has signed already gets no second list of signatures."""
-    shared = docs.sparkSession.sparkContext.broadcast(often)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(often)  # a byte a cell
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idle_memory()
@@ -358,12 +382,12 @@ def block_links(marked: DataFrame, placed: DataFrame, sets: DataFrame, percent:
 
 def linked_sets(
     df: DataFrame, id_col: str, text_col: str, words: int = 5, percent: int = 75, signatures: int | None = 64, n2: int = 2, k2: int = 1,
-    sample: int = 8192, frequent: int = 6, most_frequent: int = 1 << 18, group: int = 32, block: int = 512, elements: int = 1 << 18,
+    per: int = 8192, frequent: int = 6, group: int = 32, block: int = 512, elements: int = 1 << 18,
 ) -> tuple[DataFrame, DataFrame]:
     """(signed, labels): a row a document with its set's node, and the component of every node that has a link."""
     text = text_or_empty(text_col)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    often = frequent_shingles(docs, words, sample, frequent, most_frequent) if signatures is not None else np.zeros(0, dtype=U64)
+    often = frequent_cells(docs, words, frequent, per) if signatures is not None else None
     with small_batches(df.sparkSession):
         signed = written(signed_sets(docs, words, percent, signatures, n2, k2, often), "jaccard-signed")
     rows = signed.select(F.explode("sigs").alias("sig"), "node", F.col("n").cast("int").alias("n"))
