@@ -70,6 +70,13 @@ def released(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
+def heaps_collected(spark: SparkSession) -> None:
+    """Collect the executors' garbage now, two tasks a core so that none is left out: Java gives the system back what a step needed of its heap and of generated
+    classes only then, and the next step would add its own to it."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc') AS done").collect()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Within it, steps that run send so many rows to Python at once: whole texts by the ten thousand are tens of megabytes."""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import attach, dropped, key_bitmap, maybe_flag, maybe_in, text_or_empty, written
+from .common import attach, dropped, idle_memory, key_bitmap, maybe_flag, maybe_in, text_or_empty, written
 
 
 def lines_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +103,7 @@ def dedup_lines(
                     chosen.append([{"h": g - 2**64 if g >= 2**63 else g, "pos": p, "len": n} for g, p, n in fingerprints(h, w, gram_words)])
                 columns = [part.column(0), part.column(1), pa.array(hashes, pa.binary()), pa.array(chosen, grams)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "hashes", "grams"])
+        idle_memory()
 
     gram_type = "array<struct<h:long,pos:int,len:int>>"
     seen = written(texts.mapInArrow(describe, f"id long, th long, hashes binary, grams {gram_type}"), "line-hashes")
@@ -163,6 +164,7 @@ def dedup_lines(
             if removed_col:
                 columns, names = [*columns, pa.array(removed, pa.int64())], [*names, removed_col]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        idle_memory()
 
     out = StructType(list(untouched.schema.fields))
     if removed_col:
