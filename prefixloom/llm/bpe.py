@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, text_or_empty, units
+from .common import WHITE, idle_memory, text_or_empty, units
 
 MOST_UNITS = 400_000
+#: Units that a worker keeps between tasks.
+KEPT_UNITS = 50_000
 #: Characters that the pattern may look at beyond a match: the longest alternative of fixed text has three.
 MARGIN = 4
 
@@ -66,6 +69,12 @@ class RankEncoder:
         get, unit = self.known.get, self.unit
         return b"".join([get(u) or unit(u) for u in units(text)])
 
+    def trim(self) -> None:
+        """Forget all units but the first KEPT_UNITS and give their memory back: an idle worker, which later stages use again, holds little."""
+        if len(self.known) > KEPT_UNITS:
+            self.known = dict(islice(self.known.items(), KEPT_UNITS))
+        idle_memory()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
@@ -134,6 +143,7 @@ def encode_documents(
                 kinds = (pa.int64(), pa.binary(), pa.string(), pa.string())
                 columns = [pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, part.column(0)], names=[*OUT, "doc_id"])
+        known.trim()
 
     short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, f"{OUT_SCHEMA}, doc_id long")
 
@@ -168,6 +178,7 @@ def encode_documents(
         known = encoder(ranks_path, pattern)
         for pdf in batches:
             yield pd.DataFrame({"key": pdf["key"], "piece": pdf["piece"], "ids": [known.encode(t) for t in pdf["text"]]})
+        known.trim()
 
     def concatenate(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = b"".join(pdf.sort_values("piece")["ids"])

@@ -108,23 +108,27 @@ def text_or_empty(col: str | Column) -> Column:
 def key_bitmap(keys: DataFrame, key: str, bits: int = 24) -> DataFrame:
     """Bitmap of the cells (key mod 2**bits) that hold one of the keys: at most 2**bits / 8 bytes, whatever the data.
 
-    Returns (page, bitmap).  A clear bit proves that a key is absent; a set bit proves nothing.
+    Returns (page, bitmap).  A clear bit proves that a key is absent; a set bit proves nothing.  A page is an array of 64-bit words: Spark
+    reads an array where it lies, but copies a whole binary value for every row that looks into it.
     """
     cell = F.pmod(F.col(key), F.lit(1 << bits))
+    words = F.transform(F.expr("regexp_extract_all(hex(__bytes), '.{16}', 0)"), lambda x: F.conv(x, 16, -10).cast("long"))
     return (
         keys.select((cell / PAGE_BITS).cast("long").alias("__page"), F.pmod(cell, F.lit(PAGE_BITS)).alias("__pos"))
         .groupBy("__page")
-        .agg(F.expr("bitmap_construct_agg(__pos)").alias("__bitmap"))
+        .agg(F.expr("bitmap_construct_agg(__pos)").alias("__bytes"))
+        .select("__page", words.alias("__bitmap"))
     )
 
 
 def maybe_flag(df: DataFrame, key: str, bitmap: DataFrame, bits: int = 24, flag: str = "__maybe") -> DataFrame:
     """df with a boolean: may the key be among the bitmap's?  The broadcast side is bounded by key_bitmap()."""
     cell = F.pmod(F.col(key), F.lit(1 << bits))
-    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(__pos div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    word = F.expr("get(__bitmap, cast(__pos div 64 as int))")
+    place = F.expr("cast((7 - __pos div 8 % 8) * 8 + __pos % 8 as int)")  # a word's first byte is its highest
     marked = df.withColumn("__page", (cell / PAGE_BITS).cast("long")).withColumn("__pos", F.pmod(cell, F.lit(PAGE_BITS)))
     marked = marked.join(F.broadcast(bitmap), "__page", "left")
-    found = F.when(F.col("__bitmap").isNotNull(), F.getbit(byte, F.col("__pos") % 8) == 1)
+    found = F.when(F.col("__bitmap").isNotNull(), F.getbit(word, place) == 1)
     return marked.withColumn(flag, F.coalesce(found, F.lit(False))).drop("__page", "__pos", "__bitmap")
 
 

@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, dropped, idle_memory, key_bitmap, maybe_flag, maybe_in, released, small_batches, text_or_empty, written
+from .common import attach, components, dropped, heaps_collected, idle_memory, key_bitmap, maybe_flag, maybe_in, released, small_batches, text_or_empty, written
 
 MANY_FREQUENT = 0.4
 #: Sets that a task remembers, so as not to give the same one twice; later ones are told apart after the shuffle.
@@ -245,6 +245,8 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                     arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_as_long(np.concatenate(lists))))
                     yield pa.RecordBatch.from_arrays([pa.array(_as_long(np.array(nodes, dtype=U64))), arrays], names=["node", "s"])
+        del done
+        idle_memory()
 
     return docs.mapInArrow(make, "node long, s array<long>")
 
@@ -385,6 +387,11 @@ def linked_sets(
     per: int = 8192, frequent: int = 6, group: int = 32, block: int = 512, elements: int = 1 << 18,
 ) -> tuple[DataFrame, DataFrame]:
     """(signed, labels): a row a document with its set's node, and the component of every node that has a link."""
+
+    def collected() -> None:  # signatures and shingles by the million leave as much garbage as the heap holds, and steps would add theirs up
+        released(df.sparkSession)
+        heaps_collected(df.sparkSession)
+
     text = text_or_empty(text_col)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     often = frequent_cells(docs, words, frequent, per) if signatures is not None else None
@@ -393,19 +400,20 @@ def linked_sets(
     rows = signed.select(F.explode("sigs").alias("sig"), "node", F.col("n").cast("int").alias("n"))
     # most signatures are of one set only: their hashes alone are shuffled, and the rows of the others found by a bitmap
     twice = written(rows.select("sig").groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("sig"), "jaccard-twice")
-    released(df.sparkSession)
+    collected()
     maybe = written(maybe_in(rows, "sig", key_bitmap(twice, "sig", SIG_BITS), SIG_BITS), "jaccard-shared")
     dropped(twice)
     several = maybe.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("sig")
     shared = written(maybe.join(several, "sig", "left_semi"), "jaccard-several")
     dropped(maybe)
+    collected()
     sets = node_sets(shared.select("node").distinct(), docs, signed, words)
     released(df.sparkSession)
     can = written(able(sets, percent), "jaccard-able")
     sets, whole = written(sets.join(can.select("node"), "node", "left_semi"), "jaccard-sets"), sets
     shared, before = written(shared.join(can, "node"), "jaccard-led"), shared
     dropped(whole, before)
-    released(df.sparkSession)
+    collected()
     lead = F.min(F.struct("node", "n", "r"))
     leads = shared.groupBy("sig").agg(lead.alias("l"), F.max("node").alias("z")).filter("l.node <> z")
     leads = leads.select("sig", F.col("l.node").alias("a"), F.col("l.n").alias("an"), F.col("l.r").alias("ar"))
