@@ -17,7 +17,9 @@ dictionary, as raw content.  A reader needs the index and one frame for one docu
 
 Shards are ranges of ids of about `shard_bytes` of text: rows are range-partitioned by (id, text hash), so a repeated id can be split, and
 each task writes its range under a temporary name and renames it, so a lost executor's task can run again; what such a task
-left is deleted at the end.  The manifest names files by their whole URI, as the path was given.
+left is deleted at the end.  The manifest names files by their whole URI, as the path was given.  Its rows, one a shard, come back to
+the driver, which lists the shards anyway: for every file that Spark's own writer makes on a local or mounted path, an executor starts
+`chmod` several times, and each such process shares (and is counted with) the executor's whole memory until it runs.
 
 Null texts are empty (the end id alone).  Null ids sort first and read back as null.  Repeated ids are ordered by their
 text's hash.  An empty table gives no shards and an empty result.  Only the two named columns are read.
@@ -35,10 +37,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh_path, text_or_empty, units, written
+from .common import Memo, fresh_path, heaps_collected, small_batches, text_or_empty, units
 
 MAGIC = b"PLXIDS01"
 NULL_ID = -(2**63)
@@ -196,15 +198,19 @@ def write_token_files(
     # shards by size, and smaller ones while there are fewer than the cores can share
     shards = max(1, -(-size // shard_bytes), min(4 * spark.sparkContext.defaultParallelism, -(-size // (1 << 22))))
     dealt = rows.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    manifest = written(dealt.mapInPandas(write, "shard int, file string, documents long, n_tokens long, bytes long"), "token-manifest")
+    with small_batches(spark):
+        found = dealt.mapInPandas(write, "shard int, file string, documents long, n_tokens long, bytes long").collect()
+    heaps_collected(spark)  # what reads the files and writes its rows begins with small executors
     from pyarrow import fs
 
     for left in store.get_file_info(fs.FileSelector(root)):  # of tasks that were run again
         if left.base_name.startswith("."):
             store.delete_file(left.path)
-    # one row a shard, so this single ordered window is over file names, not documents
-    before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    manifest, start = [], 0
+    for row in sorted(found):
+        manifest.append((*row, start))
+        start += row["n_tokens"]
+    return spark.createDataFrame(manifest, "shard int, file string, documents long, n_tokens long, bytes long, start long")
 
 
 class TokenFile:
