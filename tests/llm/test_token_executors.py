@@ -1,14 +1,17 @@
-"""Operator 2 on the executors' side: processes that they start while texts are encoded, and garbage that they keep afterwards."""
+"""Operator 2 on the executors' side: processes that they start while texts are encoded, garbage that they keep, words encoded twice."""
 
 import os
+import random
 import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from prefixloom.llm.token_files import read_token_files, write_token_files
+from prefixloom.llm.token_files import UnitEncoder, read_token_files, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 RUN = """
@@ -62,3 +65,21 @@ def test_manifest_starts(spark, tmp_path):
     assert len(rows) > 2 and [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:i]) for i in range(len(rows))]
     empty = write_token_files(df.limit(0), f"file://{tmp_path}/none", PATH)
     assert empty.columns == ["shard", "file", "documents", "n_tokens", "bytes", "start"] and not read_token_files(empty).count()
+
+
+def test_words_around_breaks_and_marks_are_encoded_once():
+    tok, own, pieces = Tokenizer.from_file(PATH), UnitEncoder(PATH), []
+    inner = own.piece
+    own.piece = lambda piece: pieces.append(piece) or inner(piece)
+    words = [f"{a}{b}lix" for a in "abcdéf" for b in "rstuñ"]
+    lines = "".join(f"{a}.\n{b} {a}!!,\n{b}***\n" for a in words for b in words)
+    assert np.frombuffer(own.encode(lines), own.dtype).tolist() == tok.encode(lines, add_special_tokens=False).ids
+    assert len(pieces) < 4 * len(words)  # by line breaks and marks it were thousands
+
+
+def test_white_space_and_marks_as_the_library():
+    tok, own, rng = Tokenizer.from_file(PATH), UnitEncoder(PATH), random.Random(5)
+    parts = [*" \n\t\r\0\x0b\x1c\x85\xa0\u2028\u3000'.,!*_$%-()", "  ", "\n\n", " \n", "\n ", "'s", "'re", "''", "word", "Élan", "ß", "x1", "42", "½", "日本", "й", "\u0301"]
+    for n in range(6000):
+        text = "".join(rng.choices(parts, k=n % 12))
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
